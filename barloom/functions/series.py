@@ -20,7 +20,10 @@ class Series:
     def __init__(self, keys: Sequence[str] = ("asset",), order: Sequence[str] = ("date",)):
         self.keys = tuple(keys)
         self.order = tuple(order)
-        self.spec = Window.partitionBy(*keys).orderBy(*order)
+
+    @property
+    def spec(self):
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     # -- frames ---------------------------------------------------------------
     def frame(self, n: int):
@@ -76,32 +79,18 @@ class Series:
     def max(self, c, n, min_periods=None) -> Column:
         return self.roll(F.max, c, n, min_periods)
 
-    def median(self, c, n, min_periods=None) -> Column:
-        return self.roll(lambda x: F.percentile(x, 0.5), c, n, min_periods)
+    def median(self, c, n: int) -> Column:
+        """Median of a full window (sorted copies of at most ``n`` values)."""
+        c, frame = col(c), self.frame(n)
+        values = F.sort_array(F.collect_list(c).over(frame))
+        mid = (F.get(values, (n - 1) // 2) + F.get(values, n // 2)) / 2
+        return F.when(F.count(c).over(frame) >= n, mid)
 
     def zscore(self, c, n, min_periods=None) -> Column:
         return sd_ratio(
             col(c) - self.mean(c, n, min_periods), self.std(c, n, min_periods)
         )
 
-    def skew(self, c, n: int) -> Column:
-        """Bias-corrected skewness of a full window."""
-        frame, c = self.frame(n), col(c)
-        adjust = (n * (n - 1)) ** 0.5 / (n - 2)
-        return F.when(
-            (F.count(c).over(frame) >= n) & (F.stddev_samp(c).over(frame) > SD_FLOOR),
-            F.skewness(c).over(frame) * adjust,
-        )
-
-    def kurt(self, c, n: int) -> Column:
-        """Bias-corrected excess kurtosis of a full window."""
-        frame, c = self.frame(n), col(c)
-        scale = (n - 1) / ((n - 2) * (n - 3))
-        return F.when(
-            (F.count(c).over(frame) >= n) & (F.stddev_samp(c).over(frame) > SD_FLOOR),
-            ((n + 1) * F.kurtosis(c).over(frame) + 6) * scale,
-        )
-
     def corr(self, a, b, n: int, min_periods: int | None = None) -> Column:
         """Rolling correlation over rows where both sides are present."""
         frame = self.frame(n)

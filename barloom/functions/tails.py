@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -90,11 +91,11 @@ def _masked(fn, a: pd.Series, b: pd.Series) -> pd.Series:
     return out.astype(object).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(student_t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(chi2_upper, x, df)

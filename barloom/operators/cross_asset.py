@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import by_date
+from barloom.functions.rolling import add_rolling
 from barloom.functions.series import Series
 
 REF_CORR_WINDOWS = (30, 90)
@@ -81,16 +82,19 @@ def market_by_date(returns: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def _reference_columns() -> dict[str, Column]:
+def _add_reference_columns(df: DataFrame) -> DataFrame:
     s = Series()
+    rolls = {f"_corr_{n}": ("corr", ("_r1", "_ref"), n) for n in REF_CORR_WINDOWS}
+    rolls |= {f"_own_{n}": ("sum", "_r1", n) for n in STRENGTH_WINDOWS}
+    df = add_rolling(df, s, rolls)
     c = {}
     for n in REF_CORR_WINDOWS:
         # The last n rows must be n consecutive calendar ordinals.
         dense = F.col("_di") - s.lag("_di", n - 1) == n - 1
-        c[f"xa_corr_ref_{n}"] = F.when(dense, s.corr("_r1", "_ref", n))
+        c[f"xa_corr_ref_{n}"] = F.when(dense, F.col(f"_corr_{n}"))
     for n in STRENGTH_WINDOWS:
-        c[f"xa_rel_strength_{n}"] = s.sum("_r1", n) - F.col(f"_ref_sum_{n}")
-    return c
+        c[f"xa_rel_strength_{n}"] = F.col(f"_own_{n}") - F.col(f"_ref_sum_{n}")
+    return df.withColumns(c)
 
 
 def _section_columns() -> dict[str, Column]:
@@ -114,7 +118,7 @@ def add_reference(
     calendar = calendar if calendar is not None else date_calendar(panel)
     df = with_returns(panel, calendar)
     df = df.join(by_date(reference_by_date(df, calendar, reference)), "date", "left")
-    return _finish(df.withColumns(_reference_columns()), panel)
+    return _finish(_add_reference_columns(df), panel)
 
 
 def add_cross_section(panel: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
@@ -143,4 +147,4 @@ def add_cross_asset(
     ref = reference_by_date(base, calendar, reference)
     df = base.withColumn("_rank", average_rank("_r1", ["_di"]))
     df = df.join(by_date(ref), "date", "left").join(by_date(market), "date", "left")
-    return _finish(df.withColumns({**_reference_columns(), **_section_columns()}), panel)
+    return _finish(_add_reference_columns(df.withColumns(_section_columns())), panel)

@@ -18,6 +18,7 @@ from barloom.functions.expr import (
     safe_ratio,
     sd_ratio,
 )
+from barloom.functions.rolling import add_rolling
 from barloom.functions.series import Series
 from barloom.operators.ewm import add_ewm, from_span
 from barloom.operators.targets import parkinson
@@ -36,22 +37,33 @@ def _scratch(df: DataFrame, keys) -> DataFrame:
     return df.withColumn("_lc", F.ln("close")).withColumn("_r1", Series(keys).diff("_lc"))
 
 
+def _tidy(df: DataFrame, panel: DataFrame) -> DataFrame:
+    """Drop scratch columns the family introduced."""
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in panel.columns])
+
+
 def add_price(panel: DataFrame, keys=("asset",)) -> DataFrame:
     """``px_``: returns, their rolling moments, cumulative sums, distance to extremes."""
     s = Series(keys)
-    c = {f"px_ret_{k}": s.diff("_lc", k) for k in RET_LAGS}
+    df = _scratch(panel, keys)
+    rolls = {}
     for n in MEAN_WINDOWS:
-        c[f"px_ret_mean_{n}"] = s.mean("_r1", n)
-        c[f"px_ret_std_{n}"] = s.std("_r1", n)
+        rolls[f"px_ret_mean_{n}"] = ("mean", "_r1", n)
+        rolls[f"px_ret_std_{n}"] = ("std", "_r1", n)
     for n in MOMENT_WINDOWS:
-        c[f"px_ret_skew_{n}"] = s.skew("_r1", n)
-        c[f"px_ret_kurt_{n}"] = s.kurt("_r1", n)
+        rolls[f"px_ret_skew_{n}"] = ("skew", "_r1", n)
+        rolls[f"px_ret_kurt_{n}"] = ("kurt", "_r1", n)
     for n in CUMULATIVE_WINDOWS:
-        c[f"px_cumret_{n}"] = s.sum("_r1", n)
+        rolls[f"px_cumret_{n}"] = ("sum", "_r1", n)
+    for n in EXTREME_WINDOWS:
+        rolls[f"_max_{n}"] = ("max", "_lc", n)
+        rolls[f"_min_{n}"] = ("min", "_lc", n)
+    df = add_rolling(df, s, rolls)
+    c = {f"px_ret_{k}": s.diff("_lc", k) for k in RET_LAGS}
     for n in EXTREME_WINDOWS:
-        c[f"px_dist_max_{n}"] = F.col("_lc") - s.max("_lc", n)
-        c[f"px_dist_min_{n}"] = F.col("_lc") - s.min("_lc", n)
-    return _scratch(panel, keys).withColumns(c).drop("_lc", "_r1")
+        c[f"px_dist_max_{n}"] = F.col("_lc") - F.col(f"_max_{n}")
+        c[f"px_dist_min_{n}"] = F.col("_lc") - F.col(f"_min_{n}")
+    return _tidy(df.withColumns(c), panel)
 
 
 def add_volume(panel: DataFrame, keys=("asset",)) -> DataFrame:
@@ -65,15 +77,21 @@ def add_volume(panel: DataFrame, keys=("asset",)) -> DataFrame:
             "vol_taker_buy_ratio": safe_ratio("taker_buy_quote_volume", "quote_volume"),
         }
     )
+    df = add_rolling(
+        df,
+        s,
+        {
+            "vol_zscore_21": ("zscore", "vol_log1p_quote_volume", 21),
+            "vol_trades_zscore_21": ("zscore", "_lt", 21),
+            "vol_taker_buy_ratio_mean_7": ("mean", "vol_taker_buy_ratio", 7),
+            "vol_ret_corr_21": ("corr", ("_r1", "vol_log1p_quote_volume"), 21),
+        },
+    )
     c = {
-        "vol_zscore_21": s.zscore("vol_log1p_quote_volume", 21),
         "vol_qv_median_ratio_63": safe_ratio("quote_volume", s.median("quote_volume", 63)),
-        "vol_trades_zscore_21": s.zscore("_lt", 21),
-        "vol_taker_buy_ratio_mean_7": s.mean("vol_taker_buy_ratio", 7),
         "vol_taker_buy_ratio_dev": F.col("vol_taker_buy_ratio") - 0.5,
-        "vol_ret_corr_21": s.corr("_r1", "vol_log1p_quote_volume", 21),
     }
-    return df.withColumns(c).drop("_lc", "_r1", "_lt")
+    return _tidy(df.withColumns(c), panel)
 
 
 def add_range_vol(panel: DataFrame, keys=("asset",)) -> DataFrame:
@@ -81,14 +99,15 @@ def add_range_vol(panel: DataFrame, keys=("asset",)) -> DataFrame:
     s = Series(keys)
     hl = positive_ln(safe_ratio("high", "low"))
     oc = positive_ln(safe_ratio("close", "open"))
-    prev = s.lag("close")
+    prev = F.col("_prev")
     true_range = F.when(
         prev.isNotNull(),
         F.greatest(
             F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)
         ),
     )
-    df = _scratch(panel, keys).withColumns(
+    df = _scratch(panel, keys).withColumn("_prev", s.lag("close"))
+    df = df.withColumns(
         {
             "_pk": parkinson(),
             "_gk": hl * hl * 0.5 - oc * oc * (2 * math.log(2.0) - 1),
@@ -99,14 +118,21 @@ def add_range_vol(panel: DataFrame, keys=("asset",)) -> DataFrame:
             ),
         }
     )
-    c = {"rng_tr_norm": safe_ratio("_tr", "close")}
+    rolls = {"_atr": ("mean", "_tr", 14), "_sd": ("std", "_r1", 21)}
+    for n in RANGE_WINDOWS:
+        rolls[f"_pk_{n}"] = ("mean", "_pk", n)
+        rolls[f"_gk_{n}"] = ("mean", "_gk", n)
+    df = add_rolling(df, s, rolls)
+    c = {
+        "rng_tr_norm": safe_ratio("_tr", "close"),
+        "rng_atr_14_norm": safe_ratio("_atr", "close"),
+    }
     for n in RANGE_WINDOWS:
-        c[f"rng_parkinson_{n}"] = F.sqrt(floor_at(s.mean("_pk", n), 0.0))
-        c[f"rng_garman_klass_{n}"] = F.sqrt(floor_at(s.mean("_gk", n), 0.0))
-    c["rng_atr_14_norm"] = safe_ratio(s.mean("_tr", 14), "close")
+        c[f"rng_parkinson_{n}"] = F.sqrt(floor_at(f"_pk_{n}", 0.0))
+        c[f"rng_garman_klass_{n}"] = F.sqrt(floor_at(f"_gk_{n}", 0.0))
     df = df.withColumns(c)
-    ratio = sd_ratio(s.std("_r1", 21), F.col("rng_parkinson_21"))
-    return df.withColumn("rng_cc_parkinson_ratio_21", ratio).drop("_lc", "_r1", "_pk", "_gk", "_tr")
+    ratio = sd_ratio(F.col("_sd"), F.col("rng_parkinson_21"))
+    return _tidy(df.withColumn("rng_cc_parkinson_ratio_21", ratio), panel)
 
 
 def add_technical(panel: DataFrame, keys=("asset",)) -> DataFrame:
@@ -133,8 +159,20 @@ def add_technical(panel: DataFrame, keys=("asset",)) -> DataFrame:
     ).withColumn("_macd", F.col("_fast") - F.col("_slow"))
     df = add_ewm(df, {"_signal": ("_macd", from_span(9))}, s)
 
-    mid, sd = s.mean("close", 20), s.std("close", 20)
-    low14, high14 = s.min("low", 14), s.max("high", 14)
+    df = df.withColumn("_obv", F.when(delta.isNotNull(), s.cumsum("_signed")))
+    df = add_rolling(
+        df,
+        s,
+        {
+            "_mid": ("mean", "close", 20),
+            "_sd": ("std", "close", 20),
+            "_low": ("min", "low", 14),
+            "_high": ("max", "high", 14),
+            # The first bar has no move; the running sum starts with the second.
+            "tech_obv_zscore_21": ("zscore", "_obv", 21),
+        },
+    )
+    mid, sd = F.col("_mid"), F.col("_sd")
     df = df.withColumns(
         {
             "tech_rsi_14": safe_ratio("_avg_gain", F.col("_avg_gain") + F.col("_avg_loss")) * 100,
@@ -143,19 +181,19 @@ def add_technical(panel: DataFrame, keys=("asset",)) -> DataFrame:
             "tech_bb_pos_20": F.when(
                 sd > SD_FLOOR, safe_ratio(F.col("close") - (mid - sd * 2), sd * 4)
             ),
-            "tech_stoch_k_14": safe_ratio(F.col("close") - low14, high14 - low14) * 100,
-            "_obv": s.cumsum("_signed"),
+            "tech_stoch_k_14": safe_ratio(
+                F.col("close") - F.col("_low"), F.col("_high") - F.col("_low")
+            ) * 100,
         }
     )
+    k = F.col("tech_stoch_k_14")
     df = df.withColumns(
         {
             "tech_macd_hist_norm": F.col("tech_macd_line_norm") - F.col("tech_macd_signal_norm"),
-            "tech_stoch_d_14": s.mean("tech_stoch_k_14", 3),
-            # The first bar has no move; the running sum starts with the second.
-            "tech_obv_zscore_21": s.zscore(F.when(delta.isNotNull(), F.col("_obv")), 21),
+            "tech_stoch_d_14": (k + s.lag(k, 1) + s.lag(k, 2)) / 3,
         }
     )
-    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in panel.columns])
+    return _tidy(df, panel)
 
 
 def add_calendar(panel: DataFrame, keys=("asset",)) -> DataFrame:
