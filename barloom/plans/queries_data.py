@@ -416,11 +416,13 @@ KPSS = RR + """,
 dx AS (SELECT asset, date, row_number() OVER (PARTITION BY asset ORDER BY date) AS i, r - avg(r) OVER (PARTITION BY asset) AS d FROM rr),
 cs AS (SELECT asset, sum(d) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM dx),
 et AS (SELECT asset, sum(s * s) AS eta, count(*) AS n FROM cs GROUP BY 1),
-g AS (SELECT a.asset, k, sum(a.d * b.d) AS g FROM dx a, (SELECT unnest(range(0, 2600)) AS k) t, dx b WHERE b.asset = a.asset AND b.i = a.i - k GROUP BY 1, 2),
+g1 AS (SELECT a.asset, k, sum(a.d * b.d) AS g FROM dx a, (SELECT unnest(range(0, 10)) AS k) t, dx b WHERE b.asset = a.asset AND b.i = a.i - k GROUP BY 1, 2),
 s AS (SELECT asset, max(n) AS n, max(eta) AS eta, sum(CASE WHEN k = 0 THEN g ELSE 2 * g END) FILTER (WHERE k <= floor(pow(n, 2.0 / 9))) / max(n) AS s0,
-  sum(2 * k * g) FILTER (WHERE k <= floor(pow(n, 2.0 / 9))) / max(n) AS s1 FROM g JOIN et USING (asset) GROUP BY 1),
-l AS (SELECT *, CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS INTEGER) AS lags FROM s),
-k AS (SELECT l.asset, lags, max(eta) / pow(max(n), 2) / (sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lags + 1.0)) * g END) FILTER (WHERE k <= lags) / max(n)) AS st
+  sum(2 * k * g) FILTER (WHERE k <= floor(pow(n, 2.0 / 9))) / max(n) AS s1 FROM g1 JOIN et USING (asset) GROUP BY 1),
+l AS (SELECT *, CAST(least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS INTEGER) AS lags FROM s),
+ks AS (SELECT asset, lags, unnest(range(0, lags + 1)) AS k FROM l),
+g AS (SELECT a.asset, k, sum(a.d * b.d) AS g FROM ks JOIN dx a ON a.asset = ks.asset JOIN dx b ON b.asset = a.asset AND b.i = a.i - k GROUP BY 1, 2),
+k AS (SELECT l.asset, lags, max(eta) / pow(max(n), 2) / (sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lags + 1.0)) * g END) / max(n)) AS st
   FROM g JOIN l USING (asset) GROUP BY 1, 2)"""
 
 
