@@ -1,6 +1,7 @@
 """Normal distribution as plain column expressions (Spark has no ``erf``).
 
-Hart's rational approximation of the normal tail, accurate to double precision.
+Hart's rational approximation of the normal tail, and beyond about seven standard
+deviations the continued fraction of the tail.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ DENOMINATOR = (
     440.413735824752,
 )
 SPLIT = 7.07106781186547
-ROOT_TWO_PI = 2.506628274631
+ROOT_TWO_PI = math.sqrt(2 * math.pi)
+# Levels of the continued fraction beyond the split.
+TAIL_TERMS = 12
 
 
 def _horner(x: Column, coefficients) -> Column:
@@ -51,9 +54,9 @@ def normal_cdf(c: Column | str) -> Column:
     z = F.least(F.abs(c), F.lit(37.0))
     density = F.exp(-z * z / 2)
     near = density * _horner(z, NUMERATOR) / _horner(z, DENOMINATOR)
-    fraction = z + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        fraction = z + F.lit(k) / fraction
+    fraction = z
+    for k in range(TAIL_TERMS, 0, -1):
+        fraction = z + F.lit(float(k)) / fraction
     tail = F.when(z < SPLIT, near).otherwise(density / fraction / ROOT_TWO_PI)
     return F.when(c.isNotNull(), F.when(c > 0, 1 - tail).otherwise(tail))
 

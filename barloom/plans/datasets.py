@@ -40,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trade_order():
+    """Order, line, then a tag of part and supplier as one BIGINT.
+
+    A fixed-width key keeps the bar aggregate hash based (a struct would sort every
+    partition first) and holds order keys up to 10**12.
+    """
+    tag = (F.col("l_partkey") + 31 * F.col("l_suppkey")) % 1048576
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + tag
+
+
 def trade_price():
     return F.pow(F.col("l_extendedprice") / F.col("l_quantity"), F.lit(0.05))
 
@@ -52,7 +62,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         asset="l_returnflag",
         bucket=F.to_date("l_shipdate"),
         price=trade_price(),
-        order_by=TRADE_ORDER,
+        order_by=trade_order(),
         volume="l_quantity",
         quote_volume="l_extendedprice",
         taker_buy=filled,
@@ -72,7 +82,7 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         asset="event_type",
         bucket=F.date_trunc("hour", F.col("ts").cast("timestamp")),
         price=F.col("value"),
-        order_by=("ts",),
+        order_by=F.col("ts"),
         volume="value",
         quote_volume="value",
         taker_buy=F.when(F.col("user_id") % 2 == 0, F.col("value")),
@@ -112,5 +122,5 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 def second_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
     return li.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("asset")).agg(
-        F.max_by(trade_price(), F.struct(*TRADE_ORDER)).alias("close")
+        F.max_by(trade_price(), trade_order()).alias("close")
     )

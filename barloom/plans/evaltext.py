@@ -61,8 +61,8 @@ def _horner(x: str, coefficients) -> str:
 def phi(x: str) -> str:
     """Normal CDF, the same rational approximation as the column expression."""
     z = f"least(abs({x}), 37.0::DOUBLE)"
-    fraction = f"({z} + 0.65::DOUBLE)"
-    for k in (4, 3, 2, 1):
+    fraction = z
+    for k in range(normal.TAIL_TERMS, 0, -1):
         fraction = f"({z} + {k}::DOUBLE / {fraction})"
     density = f"exp(-{z} * {z} / 2)"
     near = f"{density} * {_horner(z, normal.NUMERATOR)} / {_horner(z, normal.DENOMINATOR)}"

@@ -261,7 +261,7 @@ def coverage(spark, sf):
 
 
 AGREE = q.BARS + f""",
-v2 AS (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date, last(pow(l_extendedprice / l_quantity, 0.05) ORDER BY {_O}) AS close_b
+v2 AS (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date, last(pow(l_extendedprice / l_quantity, 0.05) ORDER BY {q.TRADE_ORDER}) AS close_b
   FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2),
 j AS (SELECT asset, date, (close - close_b) / close_b * 100 AS pct FROM bars JOIN v2 USING (asset, date))"""
 

@@ -183,8 +183,11 @@ vx AS (SELECT *, exp(y_true) AS y, exp(pred) AS f FROM pr),
 vg AS (SELECT {by}, count(*) AS n_obs, sqrt(avg(pow(y - f, 2))) AS rmse, avg(abs(y - f)) AS mae,
   avg(y / f - ln(y / f) - 1) AS qlike, sqrt(avg(pow(y_true - pred, 2))) AS rmse_log, avg(abs(y_true - pred)) AS mae_log,
   avg(y) AS my, avg(f) AS mf, var_pop(f) AS vf, var_pop(y) AS vy, covar_pop(y, f) AS c FROM vx GROUP BY {by}),
+vk AS (SELECT *, n_obs * (1 + vf + mf * mf) AS tr, pow(n_obs, 2) * vf AS det FROM vg),
+vu AS (SELECT * REPLACE (CASE WHEN n_obs >= 3 AND vf > 0
+   AND pow((tr + sqrt(greatest(tr * tr - 4 * det, 0))) / 2, 2) <= 1e12 * det THEN vf END AS vf) FROM vk),
 vh AS (SELECT *, c / vf AS mz_beta, my - c / vf * mf AS mz_alpha, 1 - (vy - c / vf * c) / vy AS mz_r2,
-  n_obs * (vy - c / vf * c) / (n_obs - 2) AS s2 FROM vg),
+  n_obs * (vy - c / vf * c) / (n_obs - 2) AS s2 FROM vu),
 vm AS (SELECT *, pow(1 + 2 * (n_obs * (pow(mz_alpha + (mz_beta - 1) * mf, 2) + pow(mz_beta - 1, 2) * vf) / (2 * s2))
   / (n_obs - 2), -(n_obs - 2) / 2.0) AS mz_joint_p FROM vh)"""
 

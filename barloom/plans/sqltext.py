@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+TRADE_ORDER = "(l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey + 31 * l_suppkey) % 1048576"
 
 BARS = f"""bars AS (
   SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date,
-    first(px ORDER BY {_ORDER}) AS open, max(px) AS high, min(px) AS low,
-    last(px ORDER BY {_ORDER}) AS close,
+    first(px ORDER BY {TRADE_ORDER}) AS open, max(px) AS high, min(px) AS low,
+    last(px ORDER BY {TRADE_ORDER}) AS close,
     sum(l_quantity) AS volume, sum(l_extendedprice) AS quote_volume, count(*) AS trades,
     coalesce(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 0) AS taker_buy_quote_volume,
     'lineitem' AS source

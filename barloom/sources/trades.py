@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ def bars(
     asset: Column | str,
     bucket: Column,
     price: Column,
-    order_by: Sequence[str],
+    order_by: Column,
     volume: Column | str,
     quote_volume: Column | str,
     taker_buy: Column,
@@ -27,22 +25,25 @@ def bars(
 
     A single partially aggregated pass, so a bucket holding most of the trades still
     reaches the shuffle as one row per map task.  ``order_by`` must order the trades of
-    a bucket totally; a single column keeps the whole aggregate hash based, several
-    compare as a struct.  Grouping by the bucket first makes the map-side sort of the
-    struct case compare dates instead of strings.
+    a bucket totally.  With a fixed-width type (a number or a timestamp) the aggregate is
+    hash based; a struct works too but makes Spark sort each partition first.
     """
-    order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    # Evaluated once per trade, not once per aggregate.
+    rows = trades.select(
+        bucket.alias(bucket_name), col(asset).alias("asset"), price.alias("_p"), order_by.alias("_o"),
+        col(volume).alias("_v"), col(quote_volume).alias("_q"), taker_buy.alias("_t"),
+    )
     return (
-        trades.groupBy(bucket.alias(bucket_name), col(asset).alias("asset"))
+        rows.groupBy(bucket_name, "asset")
         .agg(
-            F.min_by(price, order).alias("open"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
-            F.sum(volume).alias("volume"),
-            F.sum(quote_volume).alias("quote_volume"),
+            F.min_by("_p", "_o").alias("open"),
+            F.max("_p").alias("high"),
+            F.min("_p").alias("low"),
+            F.max_by("_p", "_o").alias("close"),
+            F.sum("_v").alias("volume"),
+            F.sum("_q").alias("quote_volume"),
             F.count(F.lit(1)).alias("trades"),
-            F.coalesce(F.sum(taker_buy), F.lit(0.0)).alias("taker_buy_quote_volume"),
+            F.coalesce(F.sum("_t"), F.lit(0.0)).alias("taker_buy_quote_volume"),
         )
         .select(
             "asset", bucket_name, "open", "high", "low", "close", "volume", "quote_volume",
