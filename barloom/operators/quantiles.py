@@ -30,54 +30,44 @@ def exact_quantiles(
     keys = list(keys)
     data = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     slack = 5.0 / ACCURACY
-    edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    k = len(probs)
     rough = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_e"),
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e")
     )
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("prob"),
-                    F.get("_e", 2 * i).alias("_lo"),
-                    F.get("_e", 2 * i + 1).alias("_hi"),
-                )
-                for i, p in enumerate(probs)
-            ]
-        )
-    )
-    small = F.col("_n") <= SMALL_GROUP
-    brackets = rough.select(*keys, "_n", wanted.alias("_w")).select(
-        *keys,
-        "_n",
-        "_w.prob",
-        F.when(~small, F.col("_w._lo")).alias("_lo"),
-        F.when(~small, F.col("_w._hi")).alias("_hi"),
+    brackets = rough.select(
+        *keys, "_n", F.slice("_e", 1, k).alias("_lo"), F.slice("_e", k + 1, k).alias("_hi")
     )
     joined = data.join(brackets, keys)
-    below = F.coalesce(F.col("_v") < F.col("_lo"), F.lit(False))
-    above = F.coalesce(F.col("_v") > F.col("_hi"), F.lit(False))
-    # Values below the bracket collapse into one counted row, repeated values into one.
-    slot = F.when(below, F.lit(None).cast("double")).otherwise(F.col("_v"))
-    counted = (
-        joined.filter(~above)
-        .groupBy(*keys, "prob", "_n", slot.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+    v = F.col("_v")
+    inside = F.exists(
+        F.arrays_zip("_lo", "_hi"), lambda b: (v >= b["_lo"]) & (v <= b["_hi"])
     )
-    w = Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("prob") * (F.col("_n") - 1)
-    ranked = counted.withColumn("_upto", upto).withColumn("_rank", rank)
-    lo, hi = F.floor("_rank"), F.ceil("_rank")
+    keep = (F.col("_n") <= SMALL_GROUP) | inside
+    # Values between two brackets share a region and collapse into one counted row;
+    # repeated values inside a bracket collapse too.
+    region = F.size(F.filter("_hi", lambda h: h < v))
+    counted = joined.groupBy(
+        *keys, "_n", F.when(keep, v).alias("_kept"), F.when(~keep, region).alias("_region")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_at"))
+    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(w))
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-    at = lambda r: F.max(F.when((first <= r) & (r <= last), F.col("_v")))
-    picked = ranked.groupBy(*keys, "prob").agg(
-        at(lo).alias("_a"), at(hi).alias("_b"), F.max(F.col("_rank") - lo).alias("_f")
-    )
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+
+    def at(rank):
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("_kept")))
+
     missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    return picked.select(
-        *keys, "prob",
-        F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed).otherwise(value_at).alias("q"),
-    )
+    picks, cells = [], []
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        picks += [
+            at(F.floor(rank)).alias(f"_a{i}"),
+            at(F.ceil(rank)).alias(f"_b{i}"),
+            F.max(rank - F.floor(rank)).alias(f"_f{i}"),
+        ]
+        a, b, f = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")
+        q = F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * f)
+        cells.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("q")))
+    picked = ranked.groupBy(*keys).agg(*picks)
+    return picked.select(*keys, F.explode(F.array(*cells)).alias("_q")).select(*keys, "_q.*")
