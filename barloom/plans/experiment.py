@@ -14,14 +14,14 @@ from barloom.sources import store
 
 
 def scaled_membership(matrix: DataFrame, plan: folds.FoldPlan, columns: Sequence[str]) -> DataFrame:
-    """Fold membership with fold-locally scaled features, materialised once."""
-    m = folds.assign_splits(matrix, folds.walk_forward_folds(matrix, plan))
-    m = cut_lineage(m)
-    scaled = scaling.transform(
-        m.select("fold", "split", "asset", "date", *columns), scaling.fit_scaler(m, columns), columns
-    )
-    rest = [c for c in m.columns if c not in columns]
-    return cut_lineage(scaled.join(m.select(*rest), ["fold", "split", "asset", "date"]))
+    """Fold membership with fold-locally scaled features."""
+    m = cut_lineage(folds.assign_splits(matrix, folds.walk_forward_folds(matrix, plan)))
+    return scale_members(m, columns)
+
+
+def scale_members(m: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Scale ``columns`` in place and materialise; ``m`` should be materialised itself."""
+    return cut_lineage(scaling.transform(m, scaling.fit_scaler(m, columns), columns))
 
 
 def linear_forecasts(scaled: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -43,7 +43,7 @@ def run_experiment(
 ) -> dict[str, DataFrame]:
     """Predictions, per-fold results, tests and breakdowns of all forecasters."""
     members = cut_lineage(folds.assign_splits(matrix, folds.walk_forward_folds(matrix, plan)))
-    scaled = scaled_membership(matrix, plan, columns)
+    scaled = scale_members(members, columns)
     frames = [baselines.baselines_for(members, target), linear_forecasts(scaled, columns, target)]
     predictions = cut_lineage(reduce(DataFrame.unionByName, frames))
     column = "proba" if target == "dir_1d" else "pred"

@@ -461,6 +461,5 @@ TARGETED = ("ret_1d", "dir_1d", "vol_1d", "close")
 )
 def leak_screen(spark, sf):
     m = add_targets(add_meta(ds.panel(spark, sf)))
-    m = m.withColumn("_close", F.col("close"))
     out = audit.leak_screen(m.select(*SCREENED, "ret_1d", "dir_1d", "vol_1d"), SCREENED, TARGETED)
     return rounded(out)

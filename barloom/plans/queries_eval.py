@@ -24,7 +24,7 @@ def modelling_rows(spark, sf, primary):
 
 def member(spark, sf, primary, plan=ds.EXPANDING):
     rows = modelling_rows(spark, sf, primary)
-    return folds.assign_splits(rows, folds.walk_forward_folds(rows, plan))
+    return folds.assign_splits(rows, cut_lineage(folds.walk_forward_folds(rows, plan)))
 
 
 def predictions(spark, sf, target):
@@ -96,8 +96,7 @@ def scaler_fit(spark, sf):
 
 
 def _scaled(c):
-    s = f"(SELECT {{}} FROM sc WHERE sc.fold = mem.fold AND feature = '{c}')"
-    return f"(coalesce(least(greatest({c}, {c}_s.lo), {c}_s.hi), {c}_s.median) - {c}_s.mean) / {c}_s.sd", s
+    return f"(coalesce(least(greatest({c}, {c}_s.lo), {c}_s.hi), {c}_s.median) - {c}_s.mean) / {c}_s.sd"
 
 
 _JOINS = " ".join(
@@ -108,7 +107,7 @@ _JOINS = " ".join(
 @query(
     "scaler_transform",
     q.keyed(
-        _STATS, {c: _scaled(c)[0] for c in SCALED}, f"mem {_JOINS}",
+        _STATS, {c: _scaled(c) for c in SCALED}, f"mem {_JOINS}",
         keys="mem.fold, mem.split, mem.asset, mem.date",
     ),
 )
@@ -452,7 +451,7 @@ def traded(spark, sf):
     """Positions of every direction baseline with realised forward returns."""
     rows = cut_lineage(add_targets(add_meta(ds.panel(spark, sf))))
     usable = drop_warmup(rows, ds.WARMUP, "dir_1d")
-    m = folds.assign_splits(usable, folds.walk_forward_folds(usable, ds.EXPANDING))
+    m = folds.assign_splits(usable, cut_lineage(folds.walk_forward_folds(usable, ds.EXPANDING)))
     p = baselines.return_baselines(m, "dir_1d").drop("seed")
     p = p.withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
     p = p.withColumn("proba", F.col("proba") + (2 * F.col("seed") - 1) * 0.01)
