@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import positive_ln, rounded
 from barloom.functions.series import Series
-from barloom.operators import baselines, features, folds, linear, metrics, scaling, sequences, timeseries, trees
+from barloom.operators import baselines, features, folds, linear, metrics, sequences, timeseries, trees
 from barloom.operators.matrix import drop_warmup
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds

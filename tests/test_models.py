@@ -84,7 +84,9 @@ def test_forecasts_ignore_the_future(members, forecast):
     until = F.col("date") <= F.lit(cut).cast("date")
     a = table(forecast(first).filter(until), "asset", "date")
     b = table(forecast(_bumped(first, cut)).filter(until), "asset", "date")
-    assert len(a) and np.allclose(a["pred"], b["pred"], rtol=0, atol=0)
+    # Calibration means are shuffled aggregates: the order of summation may differ.
+    worst = np.abs(a["pred"] - b["pred"]).max()
+    assert len(a) and worst <= 1e-12, worst
 
 
 def test_unstable_variance_falls_back(members, monkeypatch):
