@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import packing, quality_rules, simhash, token_store, trie_bpe
+from barloom.llm import (
+    adaptive_scan,
+    language_id,
+    license_scan,
+    packing,
+    quality_fm,
+    quality_rules,
+    simhash,
+    token_store,
+    toxicity_crf,
+    trie_bpe,
+)
 from barloom.llm.common import table
 
 
@@ -22,6 +33,22 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(spark, sf_dir)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_all(spark, sf_dir)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_crf.classify(spark, sf_dir)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -30,15 +57,24 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_best_fit_packing,
         op3_simhash_near_dedup,
+        op4_license_scan,
+        op5_quality_classifier,
+        op6_language_id,
+        op7_toxicity,
         op8_token_store,
         op9_trie_bpe,
+        op10_nearest_neighbours,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.sql()}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.sql(), "op4_license_scan": license_scan.sql()}

@@ -195,3 +195,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fingerprint (16 hexadecimal digits) and component_id."""
     rows = group(fingerprints(docs, shingle), radius)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+
+    Rows that repeat an id are one document and stay together; a NULL id stays only where its group has no other.
+    """
+    rows = group(fingerprints(docs, shingle), radius)
+    gone = rows.where(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull()))
+    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
