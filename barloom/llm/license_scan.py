@@ -78,12 +78,13 @@ SPELLINGS = (
 )
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright( \(c\)| ©)? [0-9]|\(c\) [0-9]|© ?[0-9]|copyright \(c\)|all rights reserved)[^\n]*"
 NOT_LETTERS = "[^a-z0-9]+"
+SPACES = r"[\x20\x09-\x0D]+"
 HINT = "licen[sc]e|spdx|copyright|permission|public domain"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with one spelling, letters and digits parted by single spaces."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n"), SPACES, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, NOT_LETTERS, " "))
@@ -125,6 +126,7 @@ def sql(documents: str = "documents", licenses: tuple[tuple[str, str], ...] = LI
 
     def form(x: str) -> str:
         x = f"regexp_replace(lower({x}), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+        x = f"regexp_replace({x}, {_quoted(SPACES)}, ' ', 'g')"
         for old, new in SPELLINGS:
             x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
         return f"md5(trim(regexp_replace({x}, {_quoted(NOT_LETTERS)}, ' ', 'g'), ' '))"
