@@ -2,8 +2,9 @@
 
 The recursion is a decayed sum over the past, and a decayed sum can be doubled: if ``s``
 holds the sum over the last ``m`` rows, then ``s[t] + d**m * s[t-m]`` holds it over the
-last ``2m``.  Ten or so ``lag`` columns over one shared window therefore reach every row
-whose weight is visible in double precision.  Each step is an ordinary window
+last ``2m``.  Doubling goes on until ``d**m`` is zero in double precision, so no row that still
+has a weight is left out, however small: after a long flat stretch two smoothed columns
+keep the ratio that the recursion gives them.  Each step is an ordinary window
 expression on the same partitioning: one exchange, one sort, no state, no UDF.
 """
 
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import Series
 
-NEGLIGIBLE = 1e-18
+SMALLEST = 5e-324  # the smallest positive double
 
 
 def memory(alpha: float) -> int:
-    """Rows after which a weight is below double-precision relevance."""
-    return max(1, math.ceil(math.log(NEGLIGIBLE) / math.log(1.0 - alpha)))
+    """Rows after which a weight is zero in double precision."""
+    return max(1, math.ceil(math.log(SMALLEST) / math.log(1.0 - alpha)))
 
 
 def from_span(span: float) -> float:

@@ -23,7 +23,7 @@ ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 FALLBACK_ALPHA = 10.0
 MIN_TRAIN_ROWS = 500
 FAN = 64
-NEWTON_STEPS = 12
+NEWTON_STEPS = 60
 
 COEF_SCHEMA = T.StructType(
     [
@@ -232,10 +232,21 @@ def fit_logistic_pooled(
     spark = rows.sparkSession
     train = _fit_rows(rows.filter("split = 'train'"))
     val = _fit_rows(rows.filter("split = 'val'"))
-    counts = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = lambda part: {
+        r["fold"]: r["n"]
+        for r in part.groupBy("fold")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
+        .filter("low < high")
+        .collect()
+    }
+    counts, graded = sizes(train), sizes(val)  # folds whose slice has both classes
+    if not counts:
+        return spark.createDataFrame([], COEF_SCHEMA)
+    train = train.filter(F.col("fold").isin(list(counts)))
+    val = val.filter(F.col("fold").isin([f for f in graded if f in counts]))
     state = {(f, a): np.zeros(n_features + 1) for f in counts for a in alphas}
 
-    for _ in range(NEWTON_STEPS):
+    for left in range(NEWTON_STEPS, 0, -1):
         current = state
 
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,6 +260,8 @@ def fit_logistic_pooled(
         state = {(r["fold"], r["alpha"]): np.array(r["g"]) for r in moved.collect()}
         if max(np.abs(state[k] - current[k]).max() for k in state) < tol:
             break
+        if left == 1:
+            raise RuntimeError(f"the logistic fit did not settle in {NEWTON_STEPS} steps")
     losses: dict[int, dict[float, float]] = {}
     scored = _reduce(val, log_loss, state).groupBy("fold", "alpha").agg(F.sum(F.get("g", F.lit(0))).alias("loss"))
     for r in scored.collect():
@@ -272,7 +285,11 @@ def fit_logistic_per_asset(
         for alpha in alphas:
             beta = np.zeros(z.shape[1] - 1)
             for _ in range(NEWTON_STEPS):
-                beta = newton_step(newton_terms(z, beta), beta, alpha)
+                old, beta = beta, newton_step(newton_terms(z, beta), beta, alpha)
+                if np.abs(beta - old).max() < 1e-8:
+                    break
+            else:
+                raise RuntimeError(f"the logistic fit did not settle in {NEWTON_STEPS} steps")
             fits[alpha] = beta
         best = FALLBACK_ALPHA
         if val["y"].nunique() > 1:

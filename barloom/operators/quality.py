@@ -109,11 +109,13 @@ def offending_rows(panel: DataFrame, condition: Column, k: int = 20) -> DataFram
 
 
 def return_outliers(panel: DataFrame, threshold: float = 0.5, k: int | None = 25) -> DataFrame:
-    """Largest one-row log returns above ``threshold`` in absolute value."""
-    log_return = Series().diff(F.ln("close"))
+    """Largest one-row log returns above ``threshold`` in absolute value.
+
+    A close that is not positive has no logarithm: its return and the next one are NULL.
+    """
+    log_return = Series().diff(F.when(F.col("close") > 0, F.ln("close")))
     out = (
-        panel.filter("close > 0")
-        .select("asset", "date", log_return.alias("log_return"))
+        panel.select("asset", "date", log_return.alias("log_return"))
         .filter(F.abs("log_return") > threshold)
     )
     return out.orderBy(F.desc(F.abs("log_return")), "asset", "date").limit(k) if k else out

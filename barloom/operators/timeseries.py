@@ -22,7 +22,7 @@ from barloom.operators.baselines import proba_from_forecast
 
 # Fixed values.
 ARMA_ORDERS = (0, 1, 2, 3)
-ARMA_MAX_OBS, ARMA_MIN_OBS = 2000, 100
+ARMA_MIN_OBS = 100
 LONG_AR = 12
 GARCH_MIN_OBS = 250
 STABLE_BELOW = 0.999
@@ -67,7 +67,9 @@ def fit_arma(r: np.ndarray, orders: Sequence[int] = ARMA_ORDERS):
         resid = r[start:] - z @ beta
         aic = len(resid) * math.log(max(resid @ resid / len(resid), 1e-300)) + 2 * (p + q + 1)
         if q and np.abs(np.roots(np.r_[1.0, beta[1 + p :]])).max() >= 1:
-            continue
+            continue  # not invertible
+        if p and np.abs(np.roots(np.r_[1.0, -beta[1 : 1 + p]])).max() >= 1:
+            continue  # not stationary
         if best is None or aic < best[0]:
             best = (aic, beta[0], beta[1 : 1 + p], beta[1 + p :], float(resid.std()) or 1e-6)
     return best[1:]
@@ -75,23 +77,30 @@ def fit_arma(r: np.ndarray, orders: Sequence[int] = ARMA_ORDERS):
 
 def arma_path(r: np.ndarray, const: float, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """One-step forecasts: entry ``t`` predicts ``t + 1`` from returns up to ``t``."""
-    out = np.zeros(len(r))
-    forecast, shocks = const, np.zeros(max(len(theta), 1))
-    for t in range(len(r)):
-        shocks = np.r_[r[t] - forecast, shocks[:-1]]
-        past = r[max(0, t - len(phi) + 1) : t + 1][::-1]
-        forecast = const + phi[: len(past)] @ past + theta @ shocks[: len(theta)]
-        out[t] = forecast
-    return out
-
-
-def arma_predictions(membership: DataFrame, target: str = "dir_1d", orders=ARMA_ORDERS) -> DataFrame:
-    """ARMA forecasts through the test window with frozen training parameters."""
+    ar, ma = phi.tolist(), theta.tolist()
+    past, shocks = [0.0] * len(ar), [0.0] * len(ma)
+    forecast, out = float(const), []
+    for value in r.tolist():
+        past = [value, *past[:-1]] if ar else past
+        shocks = [value - forecast, *shocks[:-1]] if ma else shocks
+        forecast = const + sum(a * x for a, x in zip(ar, past)) + sum(b * e for b, e in zip(ma, shocks))
+        out.append(forecast)
+    return np.array(out)
+
+
+def arma_predictions(
+    membership: DataFrame, target: str = "dir_1d", orders=ARMA_ORDERS, max_obs: int | None = None
+) -> DataFrame:
+    """ARMA forecasts through the test window with frozen training parameters.
+
+    All training returns are used; ``max_obs`` keeps only the latest so many.
+    """
     schema = T.StructType([*GROUP.fields, T.StructField("f", T.DoubleType()), T.StructField("sigma", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        train = pdf.loc[pdf["split"] == "train", "ret_lag1"].dropna().to_numpy(float)[-ARMA_MAX_OBS:]
+        train = pdf.loc[pdf["split"] == "train", "ret_lag1"].dropna().to_numpy(float)
+        train = train[-max_obs:] if max_obs else train
         test = pdf[pdf["split"] == "test"]
         out = test[["fold", "asset", "date"]].copy()
         out["f"], out["sigma"] = 0.0, 1e-2

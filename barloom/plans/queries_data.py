@@ -165,7 +165,7 @@ def coalesce_partials(spark, sf):
 @query(
     "macro_wide",
     """SELECT date, max(a) AS vixcls, max(b) AS dgs10 FROM (
-  SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS a, NULL::DOUBLE AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
+  SELECT CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS a, NULL::DOUBLE AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
   UNION ALL SELECT CAST(o_orderdate AS DATE), NULL, CASE WHEN count(*) % 2 = 1 THEN max(o_totalprice) END FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) t GROUP BY 1""",
 )
 def macro_wide(spark, sf):
@@ -173,7 +173,11 @@ def macro_wide(spark, sf):
     price = F.max("o_totalprice").cast("string")
     raw = lambda status, v: o.filter(F.col("o_orderstatus") == status).groupBy("date").agg(
         v.alias("value")).withColumn("date", F.col("date").cast("string"))
-    a = auxiliary.macro_series(raw("F", price), "vixcls")
+    repeated = o.filter("o_orderstatus = 'F'").select(
+        F.col("date").cast("string").alias("date"), F.col("o_totalprice").cast("string").alias("value"),
+        F.col("o_orderkey").alias("position"),
+    )
+    a = auxiliary.macro_series(repeated, "vixcls")
     b = auxiliary.macro_series(raw("O", F.when(F.count(F.lit(1)) % 2 == 1, price).otherwise(".")), "dgs10")
     return auxiliary.macro_wide([a, b], ["vixcls", "dgs10"])
 

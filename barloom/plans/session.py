@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,11 +26,17 @@ def local_session(cores: int = 8, name: str = "barloom", memory: str = "8g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; fall back to a temp one only if unset."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and (
-        spark.sparkContext.getCheckpointDir() is None
-    ):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    """Use the shared folder the session names.
+
+    Without one, a session inside a single process takes a temporary folder; on a cluster no executor could
+    read it, so that is an error.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def cut_lineage(df, eager: bool = True):

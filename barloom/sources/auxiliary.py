@@ -67,14 +67,18 @@ def read_macro_series(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One series CSV: first column is the date by position; '.' and '' are missing."""
     raw = spark.read.option("header", "true").csv(path)
     day, value = raw.columns[0], raw.columns[1]
-    return macro_series(raw.select(F.col(day).alias("date"), F.col(value).alias("value")), name)
+    line = F.monotonically_increasing_id().alias("position")
+    return macro_series(raw.select(F.col(day).alias("date"), F.col(value).alias("value"), line), name)
 
 
 def macro_series(raw: DataFrame, name: str) -> DataFrame:
+    """Tidy (date, value) rows; ``position``, where there is one, orders repeats of a date."""
+    position = F.col("position").cast("long") if "position" in raw.columns else F.lit(0).cast("long")
     return raw.select(
         F.col("date").try_cast("date").alias("date"),
         F.lit(name).alias("series"),
         finite(F.col("value").try_cast("double")).alias("value"),
+        position.alias("position"),
     ).filter(F.col("date").isNotNull())
 
 
@@ -82,10 +86,13 @@ def macro_wide(series: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
     """Outer merge of the series: one row per date seen in any of them.
 
     Stacking and pivoting gives the rows of a chained full outer join in one shuffle.
-    A date repeated within a series keeps its last value (by value order when a file
-    carries no better one).
+    A date repeated within a series keeps the value at its last position (the largest value
+    where rows carry no position).
     """
     stacked = reduce(DataFrame.unionByName, series)
     return stacked.groupBy("date").agg(
-        *[F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names]
+        *[
+            F.max_by("value", F.when(F.col("series") == n, F.struct("position", F.coalesce("value", F.lit(float("-inf")))))).alias(n)
+            for n in names
+        ]
     )

@@ -91,3 +91,20 @@ def test_cross_section_uses_the_panel_calendar(gapped):
         np.testing.assert_allclose(g["xa_rank_ret_lag1"], lagged.rank(axis=1, pct=True)[asset].reindex(dates), atol=1e-12)
         want = wide[asset].rolling(30).corr(wide["BTC"]).reindex(dates)
         np.testing.assert_allclose(g["xa_corr_ref_30"], want, atol=1e-8)
+
+
+def test_smoothing_keeps_the_recursion_through_long_flat_runs(spark):
+    from barloom.operators import ewm
+
+    rng = np.random.default_rng(5)
+    gain = np.r_[np.abs(rng.normal(0, 1, 40)), np.zeros(2500)]
+    loss = np.r_[np.abs(rng.normal(0, 1, 40)), np.zeros(2500)]
+    days = pd.date_range("2001-01-01", periods=len(gain)).date
+    rows = spark.createDataFrame(pd.DataFrame({"asset": "A", "date": days, "gain": gain, "loss": loss}))
+    got = ewm.add_ewm(rows, {"g": ("gain", 1 / 14), "l": ("loss", 1 / 14)}).toPandas().sort_values("date")
+    g, l, want = gain[0], loss[0], []
+    for k in range(len(gain)):
+        if k:
+            g, l = g * 13 / 14 + gain[k] / 14, l * 13 / 14 + loss[k] / 14
+        want.append(g / l)
+    assert np.allclose((got["g"] / got["l"]).to_numpy(float), want, rtol=1e-9)

@@ -102,3 +102,16 @@ def test_arithmetic_mean_is_above_geometric(members):
     a = table(baselines.vol_trailing_mean(members), "fold", "asset", "date")["pred"].mean()
     g = table(baselines.vol_climatology(members), "fold", "asset", "date")["pred"].mean()
     assert a > g
+
+
+def test_arma_takes_only_stationary_fits_and_all_returns():
+    rng = np.random.default_rng(9)
+    r = rng.normal(0, 0.01, 3000)
+    const, phi, theta, _ = timeseries.fit_arma(r)
+    assert not len(phi) or np.abs(np.roots(np.r_[1.0, -phi])).max() < 1
+    path = timeseries.arma_path(r[:50], 0.1, np.array([0.5, -0.2]), np.array([0.3]))
+    forecast, shock, past = 0.1, 0.0, [0.0, 0.0]
+    for k in range(50):
+        shock, past = r[k] - forecast, [r[k], past[0]]
+        forecast = 0.1 + 0.5 * past[0] - 0.2 * past[1] + 0.3 * shock
+        assert abs(path[k] - forecast) < 1e-12
