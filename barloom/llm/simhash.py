@@ -188,6 +188,7 @@ def group(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = found.groupBy("root").agg(F.min("owner").alias("least"))
     joined = found.join(least, "root").select("fp", "least")
     labels = owners.join(joined, "fp", "left").select("fp", F.coalesce("least", "owner").alias("component_id"))
+    labels = cut(labels)  # so that the last join has two plain exchanges, which can split a hot fingerprint
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

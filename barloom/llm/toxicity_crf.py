@@ -187,60 +187,89 @@ def telling(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
     return out
 
 
-def train(sequences: list[tuple[list[list[int]], list[int]]], size: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions that maximise the labels' likelihood, by full-batch resilient steps."""
-    weights, bias, moves = np.zeros(size), -2.0, np.zeros((2, 2))
-    if not sequences:
-        return weights, -8.0, moves
-    order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k][1]))
-    lengths = np.array([len(sequences[k][1]) for k in order])
-    longest, many = int(lengths[0]), len(order)
-    labels = np.zeros((longest, many), np.int64)
-    rows, cols = [], []
-    for j, k in enumerate(order):
-        feats, marks = sequences[k]
-        labels[: len(marks), j] = marks
-        for t, fs in enumerate(feats):
-            rows += [t * many + j] * len(fs)
-            cols += fs
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    live = [int((lengths > t).sum()) for t in range(longest)]
-    there = np.arange(longest)[:, None] < lengths[None, :]
-    seen = np.bincount(cols, labels.reshape(-1)[rows], minlength=size)
-    seen_bias = labels[there].sum()
+@dataclass
+class Labelled:
+    """Token sequences, flat: tokens in each sequence, then for each token its label and number of features, then features."""
+
+    lengths: np.ndarray
+    marks: np.ndarray
+    counts: np.ndarray
+    features: np.ndarray
+
+    @staticmethod
+    def of(sequences: list[tuple[list[list[int]], list[int]]]) -> Labelled:
+        tokens = [fs for feats, _ in sequences for fs in feats]
+        return Labelled(
+            np.array([len(m) for _, m in sequences], "<i4"),
+            np.array([x for _, m in sequences for x in m], "<i1"),
+            np.array([len(fs) for fs in tokens], "<i1"),
+            np.array([f for fs in tokens for f in fs], "<i4"),
+        )
+
+    @staticmethod
+    def join(parts: list[Labelled]) -> Labelled:
+        names = ("lengths", "marks", "counts", "features")
+        return Labelled(*(np.concatenate([getattr(p, n) for p in parts]) for n in names))
+
+    def weights(self, values: np.ndarray) -> np.ndarray:
+        """The sum of each token's feature weights."""
+        token = np.repeat(np.arange(len(self.counts)), self.counts)
+        return np.bincount(token, values[self.features], minlength=len(self.counts))
+
+
+def train(data: Labelled, size: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions that maximise the labels' likelihood, by full-batch resilient steps.
+
+    Sequences are sorted from the longest; the tokens at place t of all that reach it lie together.
+    """
+    many, total = len(data.lengths), len(data.marks)
+    if not total:
+        return np.zeros(size), -8.0, np.zeros((2, 2))
+    order = np.argsort(-data.lengths, kind="stable")
+    rank = np.empty(many, np.int64)
+    rank[order] = np.arange(many)
+    longest = int(data.lengths.max())
+    live = [int((data.lengths > t).sum()) for t in range(longest)]
+    off = np.concatenate([[0], np.cumsum(live)])
+    place = np.arange(total) - np.repeat(np.cumsum(data.lengths) - data.lengths, data.lengths)
+    index = off[place] + np.repeat(rank, data.lengths)
+    labels = np.empty(total, np.int64)
+    labels[index] = data.marks
+    rows, cols = np.repeat(index, data.counts), data.features
+    at = [slice(int(off[t]), int(off[t]) + live[t]) for t in range(longest)]
+    kept = [slice(int(off[t - 1]), int(off[t - 1]) + live[t]) for t in range(1, longest)]  # those at t - 1 that go on
+    seen = np.bincount(cols, labels[rows], minlength=size)
     seen_moves = np.zeros((2, 2))
     for t in range(1, longest):
-        np.add.at(seen_moves, (labels[t - 1, : live[t]], labels[t, : live[t]]), 1)
-    theta = np.concatenate([weights, [bias], moves.ravel()])
+        np.add.at(seen_moves, (labels[kept[t - 1]], labels[at[t]]), 1)
+    theta = np.concatenate([np.zeros(size), [-2.0], np.zeros(4)])
     step, old = np.full(len(theta), 0.1), np.zeros(len(theta))
+    forward, back = np.empty((total, 2)), np.empty((total, 2))
     for _ in range(STEPS):
         weights, bias, moves = theta[:size], theta[size], theta[size + 1 :].reshape(2, 2)
-        emit = np.bincount(rows, weights[cols], minlength=longest * many).reshape(longest, many) + bias
-        psi, e = np.exp(np.clip(emit, -50, 50)), np.exp(np.clip(moves, -20, 20))
-        forward, back = np.zeros((longest, many, 2)), np.ones((longest, many, 2))
-        forward[0, :, 0], forward[0, :, 1] = 1, psi[0]
-        forward[0] /= forward[0].sum(axis=1, keepdims=True)
+        psi = np.exp(np.clip(np.bincount(rows, weights[cols], minlength=total) + bias, -50, 50))
+        e = np.exp(np.clip(moves, -20, 20))
+        forward[at[0], 0], forward[at[0], 1] = 1, psi[at[0]]
+        forward[at[0]] /= forward[at[0]].sum(axis=1, keepdims=True)
         for t in range(1, longest):
-            m = live[t]
-            x = forward[t - 1, :m] @ e
-            x[:, 1] *= psi[t, :m]
-            forward[t, :m] = x / x.sum(axis=1, keepdims=True)
+            x = forward[kept[t - 1]] @ e
+            x[:, 1] *= psi[at[t]]
+            forward[at[t]] = x / x.sum(axis=1, keepdims=True)
         want_moves = np.zeros((2, 2))
+        back[:] = 1
         for t in range(longest - 1, 0, -1):
-            m = live[t]
-            y = back[t, :m].copy()
-            y[:, 1] *= psi[t, :m]
-            pair = forward[t - 1, :m, :, None] * e[None] * y[:, None, :]
+            y = back[at[t]].copy()
+            y[:, 1] *= psi[at[t]]
+            pair = forward[kept[t - 1], :, None] * e[None] * y[:, None, :]
             want_moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             x = y @ e.T
-            back[t - 1, :m] = x / x.sum(axis=1, keepdims=True)
-        both = forward * back
-        p = both[..., 1] / np.maximum(both.sum(axis=2), 1e-300)
-        p[~there] = 0
+            back[kept[t - 1]] = x / x.sum(axis=1, keepdims=True)
+        p = forward[:, 1] * back[:, 1]
+        p /= p + forward[:, 0] * back[:, 0]
         slope = np.concatenate(
             [
-                seen - np.bincount(cols, p.reshape(-1)[rows], minlength=size),
-                [seen_bias - p.sum()],
+                seen - np.bincount(cols, p[rows], minlength=size),
+                [labels.sum() - p.sum()],
                 (seen_moves - want_moves).ravel(),
             ]
         )
@@ -331,32 +360,30 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Chain
     number, strong = {f: i for i, f in enumerate(names)}, {f for f in names if shares[f] >= 0.5}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for batch in batches:
-            found = [
-                json.dumps(_windows(t, m, number, strong))
-                for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            ]
-            lengths = [len(LETTERS.findall(t or "")) for t in batch.column(1).to_pylist()]
+            texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [Labelled.of(_windows(t, m, number, strong)) for t, m in zip(texts, marks, strict=True)]
+            cols = [[getattr(x, n).tobytes() for x in found] for n in ("lengths", "marks", "counts", "features")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.string()), pa.array(lengths, pa.int64())],
-                names=["doc_id", "toxic", "windows", "n"],
+                [batch.column(0), batch.column(2), *(pa.array(c, pa.binary()) for c in cols)],
+                names=["doc_id", "toxic", "lengths", "marks", "counts", "features"],
             )
 
-    import json
-
-    learned = rows.mapInArrow(run, "doc_id long, toxic int, windows string, n long").collect()  # bounded by max_docs
-    learned = sorted(learned, key=lambda r: (r["doc_id"], r["windows"]))
-    parsed = [json.loads(r["windows"]) for r in learned]
-    weights, bias, moves = train([(f, m) for ws in parsed for f, m in ws], len(names))
+    kinds = "doc_id long, toxic int, lengths binary, marks binary, counts binary, features binary"
+    learned = sorted(rows.mapInArrow(run, kinds).collect(), key=lambda r: (r["doc_id"], r["features"]))  # bounded by max_docs
+    parts = [
+        Labelled(*(np.frombuffer(r[n], k) for n, k in (("lengths", "<i4"), ("marks", "<i1"), ("counts", "<i1"), ("features", "<i4"))))
+        for r in learned
+    ]
+    weights, bias, moves = train(Labelled.join(parts), len(names))
     chain = Chain({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}, bias, tuple(moves.ravel().tolist()))
     evidence = []
-    for ws in parsed:
-        p = []
-        for feats, _ in ws:
-            at = [i for i, fs in enumerate(feats) if fs]
-            p += chain.marginals(at, [float(weights[feats[i]].sum()) for i in at], len(feats))
+    for part in parts:
+        p, begin, sums = [], 0, part.weights(weights)
+        for n in part.lengths.tolist():
+            at = np.flatnonzero(part.counts[begin : begin + n]).tolist()
+            p += chain.marginals(at, [float(sums[begin + i]) for i in at], n)
+            begin += n
         evidence.append(chain.evidence(p))
     fit = logistic(np.array(evidence), np.array([r["toxic"] for r in learned], float))
     return Chain(chain.weights, chain.bias, chain.moves, tuple(float(x) for x in fit))
