@@ -8,7 +8,6 @@ else is a window within (fold, asset).
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,74 +125,90 @@ def _levels(df: DataFrame) -> DataFrame:
     return df.withColumn("_v", v).withColumn("_lv", positive_ln(v))
 
 
-def vol_persistence(membership: DataFrame) -> DataFrame:
-    """Today's log variance; the training median where it is missing."""
-    train = _levels(_train(membership))
-    median = exact_quantiles(train, ["fold"], "_lv", [0.5]).select("fold", F.col("q").alias("_fb"))
-    df = _levels(_test(membership)).join(F.broadcast(median), "fold", "left")
-    pred = F.coalesce("_lv", "_fb", F.lit(0.0))
-    return as_predictions(df, "vol_persistence", VOLATILITY, pred, None)
-
-
-def vol_climatology(membership: DataFrame) -> DataFrame:
-    """Trailing mean of logs over the fold's test rows."""
-    mean = _levels(_train(membership)).groupBy("fold").agg(F.avg("_lv").alias("_fb"))
-    df = _levels(_test(membership)).join(F.broadcast(mean), "fold", "left")
-    pred = F.coalesce(PER_FOLD_ASSET.mean("_lv", MEAN_WINDOW, VOL_MIN), F.col("_fb"), F.lit(0.0))
-    return as_predictions(df.withColumn("_p", pred), "vol_climatology", VOLATILITY, F.col("_p"), None)
+def volatility_baselines(
+    membership: DataFrame, names=None, include_val: bool = False, ewma_tail: int = EWMA_TAIL
+) -> DataFrame:
+    """The four log-variance baselines together; the ones in ``names`` are returned.
 
+    * ``vol_persistence``: today's log variance, the training median where it is missing.
+    * ``vol_climatology``: trailing mean of logs over the fold's own test rows.
+    * ``vol_trailing_mean``: trailing arithmetic mean, warmed up on the rows before the test.
+    * ``vol_ewma``: exponentially weighted variance; a missing row keeps the previous state.
+      Its state starts ``ewma_tail`` history rows before the test, which is part of the
+      forecast's definition.
 
-def _with_train_tail(membership: DataFrame, tail: int, include_val: bool) -> DataFrame:
-    """Test rows preceded by each asset's last training rows."""
+    One table of test rows with their preceding history carries all four as columns; pass
+    a materialised membership, since the training statistics read it too.
+    """
+    names = names or BASELINES[VOLATILITY]
     history = ("train", "val") if include_val else ("train",)
-    is_test = F.col("split") == "test"
-    df = _levels(membership.filter(F.col("split").isin(*history) | is_test))
-    df = df.withColumn("_test", is_test)
-    back = Window.partitionBy("fold", "asset", "_test").orderBy(F.desc("date"))
-    df = df.withColumn("_back", F.row_number().over(back))
-    return df.filter(is_test | (F.col("_back") <= tail)).drop("_back")
+    is_test, is_train, past = F.col("split") == "test", F.col("split") == "train", F.col("split").isin(*history)
+    df = _levels(membership)
+    # One row per fold: bounded by the calendar.
+    stats = df.groupBy("fold").agg(
+        F.avg(F.when(is_train, F.col("_lv"))).alias("_mean"),
+        F.ln(F.avg(F.when(past, F.col("_v")))).alias("_level"),
+    )
+    if "vol_persistence" in names:
+        median = exact_quantiles(df.filter(is_train), ["fold"], "_lv", [0.5])
+        stats = stats.join(F.broadcast(median.select("fold", F.col("q").alias("_median"))), "fold", "left")
+    if not {"vol_trailing_mean", "vol_ewma"} & set(names):
+        rows = df.filter(is_test).withColumn("_test", F.lit(True))
+    else:
+        back = Window.partitionBy("fold", "asset", "_test").orderBy(F.desc("date"))
+        rows = (
+            df.filter(is_test | past)
+            .withColumn("_test", is_test)
+            .repartition("fold", "asset")  # serves every window below
+            .withColumn("_back", F.row_number().over(back))
+            .filter(F.col("_test") | (F.col("_back") <= max(MEAN_WINDOW, ewma_tail)))
+        )
+    if "vol_climatology" in names:
+        own = Series(keys=("fold", "asset", "_test"))
+        rows = rows.withColumn("_clim", own.mean("_lv", MEAN_WINDOW, VOL_MIN))
+    if "vol_trailing_mean" in names:
+        rows = rows.withColumn("_trail", PER_FOLD_ASSET.mean("_v", MEAN_WINDOW, VOL_MIN))
+    if "vol_ewma" in names:
+        seen = F.when(F.col("_test") | (F.col("_back") <= ewma_tail), F.col("_v"))
+        rows = rows.withColumn("_seen", seen).withColumn("_null", F.col("_seen").isNull())
+        rows = add_ewm(rows, {"_e": ("_seen", 1 - EWMA_LAMBDA)}, Series(keys=("fold", "asset", "_null")))
+        rows = rows.withColumn("_ewma", PER_FOLD_ASSET.fill_forward("_e"))
+    logs = lambda c: F.ln(floor_at(c, VARIANCE_FLOOR))
+    forms = {
+        "vol_persistence": lambda: (F.col("_lv"), F.col("_median")),
+        "vol_climatology": lambda: (F.col("_clim"), F.col("_mean")),
+        "vol_trailing_mean": lambda: (logs("_trail"), F.col("_level")),
+        "vol_ewma": lambda: (logs("_ewma"), F.col("_level")),
+    }
+    cells = [
+        F.struct(F.lit(n).alias("model"), F.coalesce(*forms[n](), F.lit(0.0)).alias("pred")) for n in names
+    ]
+    out = rows.filter("_test").join(F.broadcast(stats), "fold", "left")
+    return out.withColumn("_m", F.explode(F.array(*cells))).select(
+        "asset", "date", F.col("_m.pred").cast("double").alias("pred"), F.lit(None).cast("double").alias("proba"),
+        "_m.model", "fold", F.lit(None).cast("int").alias("seed"), F.lit(VOLATILITY).alias("target"),
+        F.col(VOLATILITY).alias("y_true"),
+    )
 
 
-def _log_level(membership: DataFrame, include_val: bool) -> DataFrame:
-    history = ("train", "val") if include_val else ("train",)
-    rows = _levels(membership.filter(F.col("split").isin(*history)))
-    return rows.groupBy("fold").agg(F.ln(F.avg("_v")).alias("_fb"))
+def vol_persistence(membership: DataFrame) -> DataFrame:
+    return volatility_baselines(membership, ("vol_persistence",))
 
 
-def _log_forecast(df: DataFrame, level: str) -> Column:
-    return F.coalesce(F.ln(floor_at(level, VARIANCE_FLOOR)), F.col("_fb"), F.lit(0.0))
+def vol_climatology(membership: DataFrame) -> DataFrame:
+    return volatility_baselines(membership, ("vol_climatology",))
 
 
 def vol_trailing_mean(membership: DataFrame, include_val: bool = False) -> DataFrame:
-    """Trailing arithmetic mean of variance, warmed up on the training tail."""
-    df = _with_train_tail(membership, MEAN_WINDOW, include_val)
-    df = df.withColumn("_p", PER_FOLD_ASSET.mean("_v", MEAN_WINDOW, VOL_MIN)).filter("_test")
-    df = df.join(F.broadcast(_log_level(membership, include_val)), "fold", "left")
-    return as_predictions(df, "vol_trailing_mean", VOLATILITY, _log_forecast(df, "_p"), None)
-
-
-def vol_ewma(membership: DataFrame, include_val: bool = False) -> DataFrame:
-    """Exponentially weighted variance; a missing row keeps the previous state."""
-    df = _with_train_tail(membership, EWMA_TAIL, include_val)
-    present = Series(keys=("fold", "asset", "_null"))
-    df = add_ewm(
-        df.withColumn("_null", F.col("_v").isNull()), {"_e": ("_v", 1 - EWMA_LAMBDA)}, present
-    )
-    df = df.withColumn("_p", PER_FOLD_ASSET.fill_forward("_e")).filter("_test")
-    df = df.join(F.broadcast(_log_level(membership, include_val)), "fold", "left")
-    return as_predictions(df, "vol_ewma", VOLATILITY, _log_forecast(df, "_p"), None)
+    return volatility_baselines(membership, ("vol_trailing_mean",), include_val)
 
 
-VOL_FORMS = {
-    "vol_persistence": vol_persistence,
-    "vol_climatology": vol_climatology,
-    "vol_trailing_mean": vol_trailing_mean,
-    "vol_ewma": vol_ewma,
-}
+def vol_ewma(membership: DataFrame, include_val: bool = False, tail: int = EWMA_TAIL) -> DataFrame:
+    return volatility_baselines(membership, ("vol_ewma",), include_val, tail)
 
 
 def baselines_for(membership: DataFrame, target: str) -> DataFrame:
     """Predictions of every baseline that applies to ``target``."""
     if target == VOLATILITY:
-        return reduce(DataFrame.unionByName, [f(membership) for f in VOL_FORMS.values()])
+        return volatility_baselines(membership)
     return return_baselines(membership, target)

@@ -76,22 +76,27 @@ def wide_returns(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
     return log_returns(panel).groupBy("date").pivot("asset", list(assets)).agg(F.first("r"))
 
 
-def pairwise_correlation(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
-    """Correlation and overlap of the named assets over their common dates.
+def asset_names(panel: DataFrame) -> list[str]:
+    """Sorted names of the panel's assets: a schema-sized list."""
+    return [r["asset"] for r in panel.select("asset").distinct().orderBy("asset").collect()]
 
-    The pairs are columns of one aggregate row, so no pair of panel rows is ever formed.
+
+def pairwise_correlation(panel: DataFrame) -> DataFrame:
+    """Correlation and overlap of every two assets over their common dates, as rows.
+
+    The dates' pairs go straight into a partial aggregate, so the shuffle after it holds one row per asset pair and
+    task; the pairs are rows, so the plan does not grow with the number of assets.
     """
-    wide = wide_returns(panel, assets)
-    pairs = list(combinations_with_replacement(assets, 2))
-    cells = [
-        F.struct(
-            F.lit(a).alias("asset_a"), F.lit(b).alias("asset_b"),
-            moments.corr(a, b).alias("corr"),
-            F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("overlap"),
-        )
-        for a, b in pairs
-    ]
-    return wide.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
+    r = log_returns(panel).filter(F.col("r").isNotNull())
+    day = r.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("asset", "r"))).alias("_s"))
+    pair = F.expr("flatten(transform(_s, (x, i) -> transform(slice(_s, i + 1, size(_s)), y -> struct(x, y))))")
+    pairs = day.select(F.explode(pair).alias("_p")).select(
+        F.col("_p.x.asset").alias("asset_a"), F.col("_p.y.asset").alias("asset_b"),
+        F.col("_p.x.r").alias("_a"), F.col("_p.y.r").alias("_b"),
+    )
+    return pairs.groupBy("asset_a", "asset_b").agg(
+        moments.corr("_a", "_b").alias("corr"), F.count(F.lit(1)).alias("overlap")
+    )
 
 
 def rolling_correlation(

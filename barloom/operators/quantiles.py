@@ -1,9 +1,9 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.  Here a
-bounded sketch brackets each wanted rank, one pass counts what lies below the bracket
-and keeps the values inside it, and the rank is read off the survivors.  A bracket that
-misses its rank raises instead of returning a wrong value.
+bounded sketch proposes cut points around each wanted rank, one pass counts the values
+between the cut points, and only the cells that hold a wanted rank are ranked value by
+value.  The counts are exact, so a poor sketch costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-SMALL_GROUP = 200_000
 
 
 def exact_quantiles(
@@ -22,52 +21,51 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per (keys, prob) with the linearly interpolated quantile ``q``.
 
-    Groups up to ``SMALL_GROUP`` rows keep all their values (already a bound); larger
-    ones keep only the bracket, about ``10 / ACCURACY`` of them.
+    Cells hold about ``10 / ACCURACY`` of a group and repeated values in them collapse
+    into counted rows.  Per group the cut points are ``2 * len(probs)`` numbers; groups
+    are meant to be folds times features, so the small tables are broadcast.
     """
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs).drop("_all")
     keys = list(keys)
-    data = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     slack = 5.0 / ACCURACY
-    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    k = len(probs)
-    rough = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e")
+    edges = sorted({e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))})
+    cuts = data.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_cuts"))
+    # Cell i holds the values above i cut points: intervals closed on the right.
+    cells = data.join(F.broadcast(cuts), keys).select(
+        *keys, F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_cell"), "_v"
     )
-    brackets = rough.select(
-        *keys, "_n", F.slice("_e", 1, k).alias("_lo"), F.slice("_e", k + 1, k).alias("_hi")
+    counts = cells.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    # At most one row per cut point and group from here to the located cells.
+    up = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select(
+        *keys, "_cell", "_c", F.sum("_c").over(up).alias("_upto"),
+        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
     )
-    joined = data.join(brackets, keys)
-    v = F.col("_v")
-    inside = F.exists(
-        F.arrays_zip("_lo", "_hi"), lambda b: (v >= b["_lo"]) & (v <= b["_hi"])
+    ranks = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    wanted = F.array(*[f(r).cast("bigint") for r in ranks for f in (F.floor, F.ceil)])
+    before = F.col("_upto") - F.col("_c")
+    located = placed.select(*keys, "_cell", "_n", before.alias("_before"), "_upto").filter(
+        F.exists(wanted, lambda r: (F.col("_before") <= r) & (r < F.col("_upto")))
+    ).drop("_upto")
+    values = (
+        cells.join(F.broadcast(located), [*keys, "_cell"])
+        .groupBy(*keys, "_cell", "_n", "_before", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    keep = (F.col("_n") <= SMALL_GROUP) | inside
-    # Values between two brackets share a region and collapse into one counted row;
-    # repeated values inside a bracket collapse too.
-    region = F.size(F.filter("_hi", lambda h: h < v))
-    counted = joined.groupBy(
-        *keys, "_n", F.when(keep, v).alias("_kept"), F.when(~keep, region).alias("_region")
-    ).agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_at"))
-    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(w))
+    within = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-
-    def at(rank):
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("_kept")))
-
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    picks, cells = [], []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
+    at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col("_v")))
+    picks, found = [], []
+    for i, (p, rank) in enumerate(zip(probs, ranks)):
         picks += [
             at(F.floor(rank)).alias(f"_a{i}"),
             at(F.ceil(rank)).alias(f"_b{i}"),
             F.max(rank - F.floor(rank)).alias(f"_f{i}"),
         ]
         a, b, f = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_f{i}")
-        q = F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * f)
-        cells.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("q")))
+        found.append(F.struct(F.lit(float(p)).alias("prob"), (a + (b - a) * f).alias("q")))
     picked = ranked.groupBy(*keys).agg(*picks)
-    return picked.select(*keys, F.explode(F.array(*cells)).alias("_q")).select(*keys, "_q.*")
+    return picked.select(*keys, F.explode(F.array(*found)).alias("_q")).select(*keys, "_q.*")

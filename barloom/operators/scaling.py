@@ -67,14 +67,16 @@ def transform(
     missing = set(columns) - set(membership.columns)
     if missing:
         raise ValueError(f"columns learned at fit time are absent: {sorted(missing)}")
-    entry = F.struct("feature", F.struct("lo", "hi", "median", "mean", "sd"))
-    packed = stats.groupBy("fold").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("_stats")
+    # One row per fold: the statistics of column i are element i of the array.
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
+    entry = F.struct(place[F.col("feature")].alias("i"), "lo", "hi", "median", "mean", "sd")
+    packed = stats.filter(F.col("feature").isin(*columns)).groupBy("fold").agg(
+        F.sort_array(F.collect_list(entry)).alias("_stats")
     )
     df = membership.join(F.broadcast(packed), "fold")
     out = {}
-    for c in columns:
-        s = F.col("_stats")[c]
+    for i, c in enumerate(columns):
+        s = F.get("_stats", F.lit(i))
         v = F.coalesce(clip(F.col(c).cast("double"), s["lo"], s["hi"]), s["median"])
         if standardize:
             v = (v - s["mean"]) / s["sd"]

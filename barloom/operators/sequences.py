@@ -70,14 +70,17 @@ def decompose(df: DataFrame, n_features: int, lookback: int, kernel: int = 7) ->
 
 
 def window_design(
-    membership: DataFrame, columns: Sequence[str], target: str, n_assets: int,
-    lookback: int = 30, kernel: int = 7,
+    membership: DataFrame, columns: Sequence[str], target: str,
+    lookback: int = 30, kernel: int = 7, n_assets: int | None = None,
 ) -> DataFrame:
     """Rows for a linear map of the decomposed window plus a per-asset offset.
 
     Two stacked linear layers without a nonlinearity are one linear model, so the
-    window forecaster is :mod:`barloom.operators.linear` on this design.
+    window forecaster is :mod:`barloom.operators.linear` on this design.  ``n_assets`` is
+    the number of asset codes, counted from the rows where it is not given.
     """
+    if n_assets is None:
+        n_assets = (asset_codes(membership).agg(F.max("code")).first()[0] or 0) + 1
     df = with_asset_code(sequence_windows(membership, columns, lookback, ("fold", "asset")))
     df = decompose(df, len(columns), lookback, kernel)
     offsets = F.array(*[(F.col("asset_code") == k).cast("double") for k in range(n_assets)])

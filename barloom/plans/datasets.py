@@ -41,13 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trade_order():
-    """Order, line, then a tag of part and supplier as one BIGINT.
-
-    A fixed-width key keeps the bar aggregate hash based (a struct would sort every
-    partition first) and holds order keys up to 10**12.
-    """
-    tag = (F.col("l_partkey") + 31 * F.col("l_suppkey")) % 1048576
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + tag
+    """The whole tuple that orders trades. (order, line) repeats, and ties must not depend on the task order."""
+    return F.struct(*TRADE_ORDER)
 
 
 def trade_price():
@@ -62,7 +57,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         asset="l_returnflag",
         bucket=F.to_date("l_shipdate"),
         price=trade_price(),
-        order_by=trade_order(),
+        order_by=F.col(TRADE_ORDER[0]),
+        ties=F.struct(*TRADE_ORDER[1:]),
         volume="l_quantity",
         quote_volume="l_extendedprice",
         taker_buy=filled,
@@ -98,12 +94,21 @@ def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def onchain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts in two steps, so that no trade is copied per counted column.
+
+    The first step keeps one row per bar and supplier (or order), which spreads a large bar over many tasks.
+    """
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("asset"), F.to_date("l_shipdate").alias("date")).agg(
-        F.countDistinct("l_suppkey").cast("double").alias("adractcnt"),
-        F.countDistinct("l_orderkey").cast("double").alias("txcnt"),
-        F.sum("l_quantity").alias("splycur"),
-    )
+    bar = [F.col("l_returnflag").alias("asset"), F.to_date("l_shipdate").alias("date")]
+
+    def distinct(column, name, *more):
+        once = li.groupBy(*bar, column).agg(F.count(F.lit(1)).alias("_n"), *more)
+        sums = [F.sum(c).alias(c) for c in once.columns if c not in ("asset", "date", column, "_n")]
+        return once.groupBy("asset", "date").agg(F.count(column).cast("double").alias(name), *sums)
+
+    suppliers = distinct("l_suppkey", "adractcnt")
+    orders = distinct("l_orderkey", "txcnt", F.sum("l_quantity").alias("splycur"))
+    return suppliers.join(orders, ["asset", "date"]).select("asset", "date", *ONCHAIN)
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,21 +12,20 @@ from barloom.plans import sqltext as q
 from barloom.plans.registry import query
 from barloom.sources import auxiliary, klines
 
-ASSETS = ("A", "N", "R")
 ORDER = ds.TRADE_ORDER
 _O = ", ".join(ORDER)
 SHIFT_DAYS = 7305
-SYMBOLS = {"AUSD": "A", "NUSD": "N"}
+SYMBOLS = {"AUSD": "A", "NUSD": "N", "RUSD": "R"}
 
 
 # -- landed shapes ------------------------------------------------------------------
 
 
-def raw_klines(spark, sf):
+def raw_klines(spark, sf, shift=SHIFT_DAYS):
     """Line items as untyped kline rows: mixed epoch units, bad numbers, repeats."""
     li = ds.table(spark, sf, "lineitem")
     # Twenty years on: epochs before September 2001 are not plausible milliseconds.
-    seconds = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + SHIFT_DAYS * 86400
+    seconds = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + shift * 86400
     epoch = F.when(F.col("l_linenumber") % 2 == 0, seconds * 1000).otherwise(seconds * 1000000)
     text = lambda c: F.col(c).cast("string")
     return li.select(
@@ -64,13 +63,28 @@ def tidy_klines(spark, sf):
 
 @query(
     "assemble_panel",
-    f"""WITH {TIDY} SELECT CASE symbol WHEN 'AUSD' THEN 'A' WHEN 'NUSD' THEN 'N' END AS asset, date, open, high, low, close, volume,
-  quote_volume, trades, taker_buy_quote_volume, 'landed' AS source FROM td WHERE symbol IN ('AUSD', 'NUSD')""",
+    f"""WITH {TIDY} SELECT CASE symbol WHEN 'AUSD' THEN 'A' WHEN 'NUSD' THEN 'N' WHEN 'RUSD' THEN 'R' END AS asset, date, open, high, low, close, volume,
+  quote_volume, trades, taker_buy_quote_volume, 'landed' AS source FROM td WHERE symbol IN ('AUSD', 'NUSD', 'RUSD')""",
 )
 def assemble_panel(spark, sf):
     return klines.assemble_panel(klines.tidy_klines(raw_klines(spark, sf), ORDER), SYMBOLS, "landed")
 
 
+@query(
+    "ingest_findings",
+    """WITH raw AS (SELECT l_returnflag || 'USD' AS symbol, l_quantity = 7 AS no_close,
+  l_linenumber % 2 = 0 AND epoch_ms(l_shipdate) < 1000000000000 OR l_linenumber % 2 = 1 AND epoch_us(l_shipdate) < 1000000000000 AS early FROM lineitem),
+ c AS (SELECT symbol, 'implausible_epoch' AS "check", count(*) FILTER (WHERE early) AS n FROM raw GROUP BY 1
+  UNION ALL SELECT symbol, 'unreadable_close', count(*) FILTER (WHERE no_close) FROM raw GROUP BY 1
+  UNION ALL SELECT symbol, 'unmapped_symbol', count(*) FROM raw WHERE symbol = 'RUSD' GROUP BY 1)
+ SELECT 'error' AS severity, "check", symbol, n FROM c WHERE n > 0""",
+)
+def ingest_findings(spark, sf):
+    """The same rows without the shift, where old dates in milliseconds are not plausible, and one symbol unmapped."""
+    known = {k: v for k, v in SYMBOLS.items() if k != "RUSD"}
+    return klines.ingest_findings(raw_klines(spark, sf, 0), known)
+
+
 @query(
     "epoch_units",
     f"SELECT CAST(l_shipdate AS DATE) + {SHIFT_DAYS} AS date, count(*) AS n FROM lineitem GROUP BY 1",
@@ -347,12 +361,12 @@ def return_moments(spark, sf):
  FROM rr a JOIN rr b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2""",
 )
 def pairwise_correlation(spark, sf):
-    return rounded(explore.pairwise_correlation(ds.panel(spark, sf), ASSETS))
+    return rounded(explore.pairwise_correlation(ds.panel(spark, sf)))
 
 
 ROLLCORR = RR + """,
 days AS (SELECT DISTINCT date FROM rr),
-pr AS (SELECT * FROM (VALUES ('A', 'N'), ('A', 'R'), ('N', 'R')) t(asset_a, asset_b)),
+nm AS (SELECT DISTINCT asset FROM bars), pr AS (SELECT x.asset AS asset_a, y.asset AS asset_b FROM nm x JOIN nm y ON x.asset < y.asset),
 g AS (SELECT days.date, asset_a, asset_b, a.r AS x, b.r AS y FROM days CROSS JOIN pr LEFT JOIN rr a ON a.date = days.date AND a.asset = asset_a
   LEFT JOIN rr b ON b.date = days.date AND b.asset = asset_b),
 rc AS (SELECT date, asset_a, asset_b, """ + q.corr("x", "y", 90, "asset_a, asset_b").replace(">= 90", ">= 60") + """ AS corr FROM g)"""
@@ -360,7 +374,8 @@ rc AS (SELECT date, asset_a, asset_b, """ + q.corr("x", "y", 90, "asset_a, asset
 
 @query("rolling_correlation", q.keyed(ROLLCORR, {"corr": "corr"}, "rc", keys="date, asset_a, asset_b"))
 def rolling_correlation(spark, sf):
-    return rounded(explore.rolling_correlation(ds.panel(spark, sf), ASSETS))
+    panel = ds.frozen_panel(spark, sf)
+    return rounded(explore.rolling_correlation(panel, explore.asset_names(panel)))
 
 
 @query(
@@ -369,7 +384,8 @@ def rolling_correlation(spark, sf):
  round(quantile_cont(corr, 0.25), 6) + 0.0 AS q25, round(quantile_cont(corr, 0.5), 6) + 0.0 AS q50, round(quantile_cont(corr, 0.75), 6) + 0.0 AS q75, round(max(corr), 6) AS max FROM rc GROUP BY 1, 2""",
 )
 def rolling_correlation_summary(spark, sf):
-    rc = explore.rolling_correlation(ds.panel(spark, sf), ASSETS)
+    panel = ds.frozen_panel(spark, sf)
+    rc = explore.rolling_correlation(panel, explore.asset_names(panel))
     return rounded(explore.describe_values(rc, ["asset_a", "asset_b"], "corr"))
 
 
@@ -416,6 +432,19 @@ def pacf(spark, sf):
     return rounded(explore.pacf(explore.acf(ds.panel(spark, sf))))
 
 
+@query(
+    "pacf_first_lags",
+    q.keyed(ACF + """,
+r12 AS (SELECT asset, kind, max(acf) FILTER (WHERE lag = 1) AS a, max(acf) FILTER (WHERE lag = 2) AS b FROM af GROUP BY 1, 2),
+pa AS (SELECT asset, kind, 1::INTEGER AS lag, a AS p FROM r12 UNION ALL SELECT asset, kind, 2, (b - a * a) / (1 - a * a) FROM r12)""",
+            {"pacf": "p"}, "pa", keys="asset, kind, lag"),
+)
+def pacf_first_lags(spark, sf):
+    """The lags with a closed form."""
+    out = explore.pacf(explore.acf(ds.panel(spark, sf))).filter("lag IN (1, 2)")
+    return rounded(out.select("asset", "kind", "lag", "pacf"))
+
+
 KPSS = RR + """,
 dx AS (SELECT asset, date, row_number() OVER (PARTITION BY asset ORDER BY date) AS i, r - avg(r) OVER (PARTITION BY asset) AS d FROM rr),
 cs AS (SELECT asset, sum(d) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM dx),

@@ -28,7 +28,11 @@ def member(spark, sf, primary, plan=ds.EXPANDING):
 
 
 def predictions(spark, sf, target):
-    return baselines.baselines_for(member(spark, sf, target), target)
+    m = member(spark, sf, target)
+    if target != "vol_1d":
+        return baselines.baselines_for(m, target)
+    # Training statistics and forecasts read the membership, scores and tests the forecasts, several times.
+    return cut_lineage(baselines.baselines_for(cut_lineage(m), target))
 
 
 def seeded(spark, sf):
@@ -92,7 +96,7 @@ sc AS (SELECT fold, feature, lo, hi, median, mean, CASE WHEN sd > 0 THEN sd ELSE
     q.keyed(_STATS, {c: c for c in ("lo", "hi", "median", "mean", "sd")}, "sc", keys="fold, feature"),
 )
 def scaler_fit(spark, sf):
-    return rounded(scaling.fit_scaler(member(spark, sf, "dir_1d"), SCALED))
+    return rounded(scaling.fit_scaler(cut_lineage(member(spark, sf, "dir_1d")), SCALED))
 
 
 def _scaled(c):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-TRADE_ORDER = "(l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey + 31 * l_suppkey) % 1048576"
+TRADE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
 BARS = f"""bars AS (
   SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date,

@@ -100,6 +100,23 @@ def assemble_panel(bars: DataFrame, symbols: dict[str, str], source: str) -> Dat
     )
 
 
+def ingest_findings(raw: DataFrame, symbols: dict[str, str]) -> DataFrame:
+    """(severity, check, symbol, n): rows that tidying or assembling leaves out, counted per symbol.
+
+    Implausible or unreadable epochs and closes, and symbols the map lacks, are errors; a clean landing gives no row.
+    """
+    close = F.col("close").try_cast("double")
+    checks = {
+        "implausible_epoch": F.col("open_time").try_cast("bigint").isNotNull() & epoch_micros("open_time").isNull(),
+        "unreadable_epoch": F.col("open_time").try_cast("bigint").isNull(),
+        "unreadable_close": finite(close).isNull(),
+        "unmapped_symbol": ~F.coalesce(F.col("symbol").isin(*symbols), F.lit(False)),
+    }
+    counts = raw.groupBy("symbol").agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
+    long = counts.unpivot(["symbol"], list(checks), "check", "n").filter("n > 0")
+    return long.select(F.lit("error").alias("severity"), "check", "symbol", "n")
+
+
 def verify_checksums(spark: SparkSession, path: str, suffix: str = ".CHECKSUM") -> DataFrame:
     """SHA-256 of every landed file against the first token of its checksum file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
