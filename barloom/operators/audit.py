@@ -20,8 +20,15 @@ def causality_audit(
     rows where only one build has a value.
     """
     until = F.col("date") <= F.lit(cut).cast("date")
-    full = build(panel).filter(until).select("asset", "date", *columns)
-    short = build(panel.filter(until)).select("asset", "date", *columns)
+    found = compare_builds(build(panel).filter(until), build(panel.filter(until)), columns)
+    return found.drop("n_rows")
+
+
+def compare_builds(full: DataFrame, short: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, max_diff, n_mismatch, n_rows) over the keys of both builds.
+
+    A key of only one build counts as a mismatch where its feature has a value.
+    """
     a = unpivot(full, ["asset", "date"], columns).withColumnRenamed("value", "a")
     b = unpivot(short, ["asset", "date"], columns).withColumnRenamed("value", "b")
     joined = a.join(b, ["asset", "date", "feature"], "full_outer")
@@ -29,6 +36,7 @@ def causality_audit(
     return joined.groupBy("feature").agg(
         F.coalesce(F.max(F.abs(F.col("a") - F.col("b"))), F.lit(0.0)).alias("max_diff"),
         F.sum(one_sided.cast("bigint")).alias("n_mismatch"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
 
 

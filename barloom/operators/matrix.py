@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import Series
@@ -93,10 +93,14 @@ def safe_meta(df: DataFrame) -> DataFrame:
     return df.drop(*unsafe)
 
 
-def family_summary(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Feature counts per family and in total (schema metadata only)."""
-    counts: dict[str, int] = {}
-    for c in feature_columns(df):
-        counts[family_of(c)] = counts.get(family_of(c), 0) + 1
-    rows = [*sorted(counts.items()), ("TOTAL", sum(counts.values()))]
-    return spark.createDataFrame(rows, "family string, n_features bigint")
+def family_summary(df: DataFrame) -> DataFrame:
+    """Features and non-null values per family and in total, from one pass over the rows."""
+    names = feature_columns(df)
+    counts = df.agg(*[F.count(c).alias(c) for c in names])
+    cells = [
+        F.struct(F.lit(f).alias("family"), F.col(c).alias("n_values")) for c in names for f in (family_of(c), "TOTAL")
+    ]
+    return (
+        counts.select(F.explode(F.array(*cells)).alias("_c")).groupBy("_c.family")
+        .agg(F.count(F.lit(1)).alias("n_features"), F.sum("_c.n_values").alias("n_values"))
+    )

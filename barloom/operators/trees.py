@@ -1,7 +1,13 @@
-"""Boosted-tree forecaster on Spark ML, one distributed fit per (fold, seed)."""
+"""Boosted-tree forecaster on Spark ML, one distributed fit per (fold, seed).
+
+Spark's own early stop ends at the first round that improves too little, which with a
+small step is the first tree.  Here all rounds are fitted on the training rows, the
+validation slice scores every round, and the trees up to the best round are kept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -11,31 +17,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-DEPTH, MIN_LEAF, STEP, ROWS, COLUMNS = 4, 60, 0.02, 0.8, "0.7"
+DEPTH, MIN_LEAF, STEP, ROWS, COLUMNS, PATIENCE = 4, 60, 0.02, 0.8, "0.7", 100
+
+GAINS = "model string, fold int, seed int, feature string, gain double"
+
+
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """Number of rounds to keep: the best one before ``patience`` rounds pass without a better one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit(train: DataFrame, val: DataFrame, max_iter: int, seed: int, classify: bool):
+    """The model of the round that scores best on ``val``; all rounds where it has no rows.
+
+    The rounds of a seed do not depend on how many follow, so fitting again with fewer
+    gives the first trees of the longer fit.
+    """
+    kind = GBTClassifier if classify else GBTRegressor
+    learner = kind(
+        labelCol="y", maxDepth=DEPTH, minInstancesPerNode=MIN_LEAF, stepSize=STEP, subsamplingRate=ROWS,
+        featureSubsetStrategy=COLUMNS, maxIter=max_iter, seed=seed,
+    )
+    fitted = learner.fit(train)
+    if val.isEmpty():
+        return fitted
+    losses = fitted.evaluateEachIteration(val) if classify else fitted.evaluateEachIteration(val, "squared")
+    rounds = best_round(losses)
+    return fitted if rounds == max_iter else learner.fit(train, {learner.maxIter: rounds})
 
 
 def fit_predict(
-    rows: DataFrame, folds: list[int], model: str, target: str,
+    rows: DataFrame, folds: list[int], columns: Sequence[str], model: str, target: str,
     seeds=(0,), max_iter: int = 20, classify: bool = True,
-) -> tuple[DataFrame, list[tuple]]:
-    """Predictions of every (fold, seed) and their feature importances.
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions of every (fold, seed), and their gains as (model, fold, seed, feature, gain).
 
-    The validation slice of a fold stops boosting early.  Folds are few (one per test
-    window), each fit spreads over the rows.
+    Folds are few (one per test window), each fit spreads over the rows.  A fold without
+    training rows or, for classes, with a single class gives no rows.
     """
     data = rows.filter("y is not null").withColumn("features", array_to_vector("x"))
-    learner = GBTClassifier if classify else GBTRegressor
     frames, gains = [], []
     for fold in folds:
         part = data.filter(F.col("fold") == fold)
-        fit = part.filter("split <> 'test'").withColumn("is_val", F.col("split") == "val")
-        test = part.filter("split = 'test'")
+        train, val, test = (part.filter(F.col("split") == s) for s in ("train", "val", "test"))
+        low, high = train.agg(F.min("y"), F.max("y")).first()
+        if low is None or (classify and low == high):
+            continue
         for seed in seeds:
-            fitted = learner(
-                labelCol="y", maxDepth=DEPTH, minInstancesPerNode=MIN_LEAF, stepSize=STEP,
-                subsamplingRate=ROWS, featureSubsetStrategy=COLUMNS, maxIter=max_iter,
-                validationIndicatorCol="is_val", seed=seed,
-            ).fit(fit)
+            fitted = fit(train, val, max_iter, seed, classify)
             out = fitted.transform(test)
             proba = vector_to_array("probability")[1] if classify else F.lit(None)
             frames.append(
@@ -45,5 +80,9 @@ def fit_predict(
                     F.lit(seed).alias("seed"), F.lit(target).alias("target"), F.col("y").alias("y_true"),
                 )
             )
-            gains += [(model, fold, seed, i, float(g)) for i, g in enumerate(fitted.featureImportances.toArray())]
-    return reduce(DataFrame.unionByName, frames), gains
+            gains += [
+                (model, fold, seed, c, float(g)) for c, g in zip(columns, fitted.featureImportances.toArray())
+            ]
+    if not frames:
+        raise ValueError("no fold can be fitted")
+    return reduce(DataFrame.unionByName, frames), rows.sparkSession.createDataFrame(gains, GAINS)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import rounded
-from barloom.operators import auxiliary, blocks, cross_asset, features, matrix
+from barloom.operators import audit, auxiliary, blocks, cross_asset, features, matrix
 from barloom.operators.ewm import add_ewm
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds
 from barloom.plans import sqltext as q
 from barloom.plans.registry import query
+from barloom.plans.session import cut_lineage
 from barloom.schema import TARGETS
 
 
@@ -349,14 +353,20 @@ def aux_macro(spark, sf):
 ALL_FAMILIES = (*matrix.BUILDERS, "cross_asset", "auxiliary")
 
 
-def full_matrix(spark, sf):
-    return matrix.build_matrix(
-        ds.frozen_panel(spark, sf), ALL_FAMILIES, reference=ds.REFERENCE,
-        sentiment=ds.sentiment(spark, sf), onchain=ds.onchain(spark, sf),
-        onchain_metrics=ds.ONCHAIN, macro=ds.macro(spark, sf), macro_series=ds.MACRO,
+def all_features(spark, sf, panel, cut=None):
+    """Every family; with ``cut``, from a panel and auxiliary series that end there."""
+    until = (lambda df: df) if cut is None else (lambda df: df.filter(F.col("date") <= F.lit(cut).cast("date")))
+    return matrix.build_features(
+        until(panel), ALL_FAMILIES, reference=ds.REFERENCE,
+        sentiment=until(ds.sentiment(spark, sf)), onchain=until(ds.onchain(spark, sf)),
+        onchain_metrics=ds.ONCHAIN, macro=until(ds.macro(spark, sf)), macro_series=ds.MACRO,
     )
 
 
+def full_matrix(spark, sf):
+    return add_targets(add_meta(all_features(spark, sf, ds.frozen_panel(spark, sf))))
+
+
 @query("feature_matrix")
 def feature_matrix(spark, sf):
     """Every family at once, after warmup."""
@@ -365,7 +375,38 @@ def feature_matrix(spark, sf):
 
 @query("family_summary")
 def family_summary(spark, sf):
-    return matrix.family_summary(spark, full_matrix(spark, sf))
+    return matrix.family_summary(full_matrix(spark, sf))
+
+
+CUTS = ("1998-06-30", "2000-03-31")
+
+
+@query(
+    "causality_audit_full",
+    f"WITH {q.BARS}, c AS (SELECT unnest({list(CUTS)}) AS cut) "
+    "SELECT cut, count(*) AS n_rows, 0::BIGINT AS n_changed FROM c JOIN bars ON date <= CAST(cut AS DATE) GROUP BY 1",
+)
+def causality_audit_full(spark, sf):
+    """Every feature of every family, rebuilt without the panel rows and auxiliary values after each cut."""
+    panel = ds.frozen_panel(spark, sf)
+    every = lambda cut: all_features(spark, sf, panel, cut)
+    whole = cut_lineage(every(None))
+    names = matrix.feature_columns(whole)
+    parts = []
+    for cut in CUTS:
+        until = F.col("date") <= F.lit(cut).cast("date")
+        found = audit.compare_builds(whole.filter(until), every(cut), names)
+        changed = F.count_if((F.round("max_diff", 9) > 0) | (F.col("n_mismatch") > 0))
+        parts.append(found.agg(F.lit(cut).alias("cut"), F.max("n_rows").alias("n_rows"), changed.alias("n_changed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("leak_screen_full")
+def leak_screen_full(spark, sf):
+    """Every feature of every family against the targets and the close of the day."""
+    m = cut_lineage(full_matrix(spark, sf))
+    against = ("ret_1d", "dir_1d", "vol_1d", "close")
+    return rounded(audit.leak_screen(m, matrix.feature_columns(m), against))
 
 
 # -- intraday bars through halo blocks --------------------------------------------

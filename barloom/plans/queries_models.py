@@ -73,13 +73,21 @@ def logistic_direction(spark, sf):
     return rounded(experiment.linear_forecasts(scaled(spark, sf, "dir_1d"), COLUMNS, "dir_1d"))
 
 
-@query("boosted_trees_direction")
-def boosted_trees_direction(spark, sf):
-    """Two seeds of boosted trees over yearly test windows."""
+def boosted(spark, sf):
+    """Two seeds of boosted trees over yearly test windows, at most 15 rounds each."""
     rows = cut_lineage(linear.design(scaled(spark, sf, "dir_1d", ds.YEARLY), COLUMNS, "dir_1d"))
     ids = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    out, _ = trees.fit_predict(rows, ids, "boosted_trees", "dir_1d", seeds=(0, 1), max_iter=5)
-    return rounded(out)
+    return trees.fit_predict(rows, ids, COLUMNS, "boosted_trees", "dir_1d", seeds=(0, 1), max_iter=15)
+
+
+@query("boosted_trees_direction")
+def boosted_trees_direction(spark, sf):
+    return rounded(boosted(spark, sf)[0])
+
+
+@query("boosted_trees_gains")
+def boosted_trees_gains(spark, sf):
+    return rounded(boosted(spark, sf)[1])
 
 
 @query("arma_direction")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import quality
-from barloom.sources import auxiliary, klines, store
+from barloom.sources import auxiliary, klines, store, trades
 
 
 def _line(ms, close, trades="5"):
@@ -87,3 +87,27 @@ def test_validation(spark, golden):
         quality.raise_if_failed(quality.validate_panel(broken))
     empty = quality.source_agreement(golden.select("asset", "date", "close"), golden.select("asset", "date", "close").limit(0))[0]
     assert quality.agreement_finding(empty).first()["severity"] == "warning"
+
+
+def test_ties_of_the_order_key_fall_to_the_rest_of_the_tuple(spark):
+    rows = [("a", 1, 2, 5.0), ("a", 1, 1, 7.0), ("a", 2, 9, 3.0), ("a", 3, 1, 4.0), ("a", 3, 2, 6.0)]
+    t = spark.createDataFrame(rows, "asset string, o bigint, tie int, p double").repartition(3)
+    got = trades.bars(
+        t, asset="asset", bucket=F.lit("2020-01-01").cast("date"), price=F.col("p"), order_by=F.col("o"),
+        ties=F.col("tie"), volume="p", quote_volume="p", taker_buy=F.col("p"), source="t",
+    ).first()
+    assert (got["open"], got["close"], got["high"], got["low"], got["trades"]) == (7.0, 6.0, 7.0, 3.0, 5)
+
+
+def test_ingest_findings_count_what_is_left_out(spark):
+    columns = ("symbol", "open_time", "close")
+    raw = spark.createDataFrame(
+        [("XUSD", "1600000000000", "1"), ("XUSD", "12", "1"), ("XUSD", "x", "1"), ("XUSD", "1600000000000", ""),
+         ("YUSD", "1600000000000", "2"), (None, "1600000000000", "2")], "symbol string, open_time string, close string",
+    ).select(*columns)
+    got = {(r["check"], r["symbol"]): r["n"] for r in klines.ingest_findings(raw, {"XUSD": "X"}).collect()}
+    assert got == {
+        ("implausible_epoch", "XUSD"): 1, ("unreadable_epoch", "XUSD"): 1, ("unreadable_close", "XUSD"): 1,
+        ("unmapped_symbol", "YUSD"): 1, ("unmapped_symbol", None): 1,
+    }
+    assert klines.ingest_findings(raw.limit(0), {"XUSD": "X"}).isEmpty()
