@@ -378,7 +378,7 @@ def family_summary(spark, sf):
     return matrix.family_summary(full_matrix(spark, sf))
 
 
-CUTS = ("1998-06-30", "2000-03-31")
+CUTS = ("2000-03-31",)
 
 
 @query(

@@ -198,7 +198,7 @@ def asset_codes(spark, sf):
 def decomposed_linear(spark, sf):
     """Linear forecaster on the trend and seasonal parts of each lookback window of 30 rows."""
     m = scaled(spark, sf, "ret_1d")
-    rows = cut_lineage(sequences.window_design(m, list(COLUMNS), "ret_1d"))
+    rows = cut_lineage(sequences.window_design(m, ["ret_lag1", "vol_zscore_21"], "ret_1d"))
     return rounded(linear.predict(rows, linear.fit_ridge_pooled(rows), "dlinear", "ret_1d"))
 
 
