@@ -311,11 +311,13 @@ def validation_findings(spark, sf):
 @query(
     "auxiliary_summary",
     """SELECT 'sentiment' AS _source, count(DISTINCT CAST(o_orderdate AS DATE)) AS rows, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders
- UNION ALL SELECT 'macro', count(DISTINCT CAST(o_orderdate AS DATE)), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders WHERE isodow(o_orderdate) < 6""",
+ UNION ALL SELECT 'macro', count(DISTINCT CAST(o_orderdate AS DATE)), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders WHERE isodow(o_orderdate) < 6
+ UNION ALL SELECT 'onchain', count(*), min(d), max(d) FROM (SELECT DISTINCT l_returnflag, CAST(l_shipdate AS DATE) AS d FROM lineitem)""",
 )
 def auxiliary_summary(spark, sf):
     tag = lambda df, n: df.select("date", F.lit(n).alias("_source"))
-    return quality.auxiliary_summary(tag(ds.sentiment(spark, sf), "sentiment").unionByName(tag(ds.macro(spark, sf), "macro")))
+    both = tag(ds.sentiment(spark, sf), "sentiment").unionByName(tag(ds.macro(spark, sf), "macro"))
+    return quality.auxiliary_summary(both.unionByName(tag(ds.onchain(spark, sf), "onchain")))
 
 
 # -- exploration ------------------------------------------------------------------------
