@@ -79,7 +79,6 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright( \(c\)| ©)? [0-9]|\(c\) [0-9]|© ?[0-9]|copyright \(c\)|all rights reserved)[^\n]*"
 NOT_LETTERS = "[^a-z0-9]+"
 SPACES = r"[\x20\x09-\x0D]+"
-HINT = "licen[sc]e|spdx|copyright|permission|public domain"
 
 
 def canonical(text: Column) -> Column:
@@ -103,16 +102,12 @@ def known_table(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LIC
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row for each match: doc_id, line (0: the document as a whole, else its number from 1), license, digest.
 
-    Units without any of the words that every known form holds are left out before they are digested, so few rows reach
-    the hash join, and nothing is shuffled: the known table is the broadcast side.
+    Every unit is digested and the hash join alone decides. Nothing is shuffled: the known table is the broadcast side.
     """
     found = F.broadcast(known_table(docs.sparkSession) if known is None else known)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.lower("text").rlike(HINT))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
-    units = F.concat(
-        F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"))),
-        F.filter(lines, lambda x: F.lower(x.unit).rlike(HINT)),
-    )
+    units = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"))), lines)
     units = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.line", digest(F.col("u.unit")).alias("digest"))
     return units.join(found, "digest").select("doc_id", "line", "license", "digest")
 

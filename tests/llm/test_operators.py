@@ -104,6 +104,23 @@ def test_license_spelling_and_copyright_lines(spark):
     assert [(r["line"], r["license"]) for r in rows if r["line"] == 0] == [(0, "MIT")]
 
 
+def test_license_scan_finds_every_spelling_of_the_canonical_form(spark):
+    notice = "This work is dedicated to the public{}domain under CC0 1.0."
+    texts = [notice.format(gap) for gap in ("-", "  ", "\n", "\t", " - ")] + [f"First.\n{notice.format('-')}\nLast.", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same_as_sql(license_scan.scan(docs), docs, license_scan.sql())
+    rows = license_scan.scan(docs).where("license = 'CC0-1.0'").select("doc_id", "line").collect()
+    assert sorted(map(tuple, rows)) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (5, 2)]
+
+
+def test_license_scan_finds_a_known_text_of_the_caller(spark):
+    own = (("Beerware", "As long as you retain this notice you can buy me a beer."),)
+    docs = spark.createDataFrame([(1, "Hello.\nAS LONG AS YOU RETAIN THIS NOTICE, you can buy me a beer!")], "doc_id long, text string")
+    found = license_scan.scan(docs, license_scan.known_table(spark, own))
+    same_as_sql(found, docs, license_scan.sql(licenses=own))
+    assert [tuple(r) for r in found.select("line", "license").collect()] == [(2, "Beerware")]
+
+
 def test_packing_is_gapless_and_whole(docs, plain, tokenizer):
     rows = packing.pack_documents(docs).collect()
     held, seen = defaultdict(list), Counter()
