@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -23,3 +28,19 @@ def test_query_matches_sql(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert {"model", "cost_bps", "sharpe"} <= set(df.columns) and df.count() == 16
+
+
+def test_import_without_the_text_operators(tmp_path):
+    """A copy without both text folders still lists every other query, with or without the pipeline's file."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    skip = shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json", "*.md")
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=skip)
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"
+    others = sum(not name.startswith("op") and name != "pipeline" for name in entry.queries())
+    for name in ("corpus_pipeline.py", None):
+        env = {**os.environ, "PYTHONPATH": str(copy)}
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True)
+        assert said.stdout.split() == [str(others), "False", "True"]
+        if name:
+            os.remove(copy / name)
