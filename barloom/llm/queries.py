@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
     adaptive_scan,
+    cover_dedup,
     language_id,
     license_scan,
     packing,
@@ -61,6 +62,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_trie_bpe,
         op10_nearest_neighbours,
+        op13_substring_dedup,
     )
 }
 
