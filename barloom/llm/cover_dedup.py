@@ -23,6 +23,7 @@ not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +31,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD
-
 WINDOW, PERIOD = 20, 13
 #: Perfect difference sets by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-CACHE_ENTRIES = 500_000
+PIECE = 1 << 20  # bytes of a text that are hashed at a time
 SLICE = 2_000  # documents whose anchors a task puts together before they are dealt
 NO_ID = -(1 << 63)
 SPREAD, TURN, OTHER = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA5A3564E9B1C7F35))
 LOW = np.uint64(3)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+AT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 KNOWN, SINGLE, SEVERAL = 0, 1, 2
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, with a bound on the entries kept."""
+def texts_of(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.encode())
-        return found
+def split(text: bytes | None) -> list[bytes]:
+    """The words between the six ASCII white-space characters, which is what splitting bytes means."""
+    return text.split() if text else []
 
 
-_words = WordHashes()
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x * SPREAD
+    return x ^ (x >> np.uint64(29))
 
 
-def split(text: str | None) -> list[str]:
-    return WORD.findall(text or "")
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random value for each byte, and the powers of an odd number and of its inverse modulo 2^64."""
+    values = np.random.default_rng(29).integers(0, 1 << 64, 256, np.uint64)
+    inverse = np.uint64(pow(int(TURN), -1, 1 << 64))
+    powers = np.full(PIECE, TURN, np.uint64), np.full(PIECE, inverse, np.uint64)
+    for p in powers:
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+    return values, *powers
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def long_hash(word: bytes) -> np.ndarray:
+    import xxhash
 
+    return np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x * SPREAD
-    return x ^ (x >> np.uint64(29))
+
+def _piece_hashes(text: bytes) -> np.ndarray:
+    letters = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[letters], [True]])))
+    starts, stops = edges[::2], edges[1::2]
+    if len(letters) > PIECE:  # a word of more than half a piece is in the way: word by word
+        return np.concatenate([_piece_hashes(text[i:j]) if j - i <= PIECE // 2 else long_hash(text[i:j]) for i, j in zip(starts, stops, strict=True)])
+    values, powers, inverses = _hash_tables
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(values[letters] * powers[: len(letters)], out=sums[1:])
+    own = (sums[stops] - sums[starts]) * inverses[starts]
+    own = mix(mix(own + (stops - starts).astype(np.uint64) * OTHER))
+    for k in np.flatnonzero(stops - starts > PIECE // 2):
+        own[k] = long_hash(text[starts[k] : stops[k]])[0]
+    return own
+
+
+def hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hash of every word: a sum over its bytes, taken from running sums over the text."""
+    found, at = [], 0
+    while text and at < len(text):
+        stop = len(text)
+        if stop - at > PIECE:
+            last = AT_SPACE.search(text, at + PIECE // 2)
+            stop = last.start() if last else stop
+        found.append(_piece_hashes(text[at:stop] if at or stop < len(text) else text))
+        at = stop
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+_hash_tables = _tables()
 
 
 def rolling(h: np.ndarray, length: int) -> np.ndarray:
@@ -126,10 +162,13 @@ class Cover:
         n = len(h) - self.window + 1
         if n <= 0:
             return np.zeros(len(h), bool)
-        low, high = self.keys(h)
-        order = np.lexsort((np.arange(n), high, low))
-        again = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
-        starts = order[1:][again]
+        low = rolling(h, self.window).view(np.int64)
+        starts, sorted_low = np.zeros(0, np.int64), np.sort(low)
+        if (sorted_low[1:] == sorted_low[:-1]).any():
+            high = self.keys(h)[1]
+            order = np.lexsort((np.arange(n), high, low))
+            again = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
+            starts = order[1:][again]
         if len(shared):
             near = self.around(h, shared)
             starts = np.concatenate([starts, near[~np.isin(low[near], owned)]])
@@ -155,8 +194,8 @@ def _anchor_rows(texts: DataFrame, cover: Cover) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids, found = [], []
-                for one, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    mine = np.unique(cover.anchors(hashes(split(text.as_py())))[1])
+                for one, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+                    mine = np.unique(cover.anchors(hashes(text))[1])
                     found.append(mine)
                     ids.append(np.full(len(mine), one, np.int64))
                 rows = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -201,8 +240,8 @@ def _window_keys(texts: DataFrame, cover: Cover) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, one in enumerate(batch.column(0).to_pylist()):
-                h = hashes(split(batch.column(1)[i].as_py()))
+            for i, (one, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)):
+                h = hashes(text)
                 near = cover.around(h, _values(batch.column(2), i))
                 low, high = cover.keys(h)
                 low, first = np.unique(low[near], return_index=True)
@@ -230,9 +269,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, sizes, spans, kept = part.column(0).to_pylist(), [], [], []
-                for i in range(part.num_rows):
-                    words = split(part.column(1)[i].as_py())
-                    gone = cover.removed(hashes(words), _values(part.column(2), i), _values(part.column(3), i))
+                for i, text in enumerate(texts_of(part.column(1))):
+                    words = split(text)
+                    gone = cover.removed(hashes(text), _values(part.column(2), i), _values(part.column(3), i))
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
                     ranges = list(zip(edges[::2], edges[1::2], strict=True))
                     left, begin = [], 0
@@ -241,13 +280,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
                         begin = stop
                     sizes.append(len(words))
                     spans.append([{"start": a, "stop": b} for a, b in ranges])
-                    kept.append(" ".join(left + words[begin:]))
+                    kept.append(b" ".join(left + words[begin:]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([None if i == NO_ID else i for i in ids], pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(spans, span),
-                        pa.array(kept, pa.string()),
+                        pa.array(kept, pa.binary()).cast(pa.string()),
                     ],
                     names=["doc_id", "n_words", "removed", "kept_text"],
                 )

@@ -49,7 +49,7 @@ def test_every_pair_of_places_shares_a_shift():
 
 
 def test_rolling_hash_depends_on_every_word():
-    h = cover_dedup.hashes([f"w{i}" for i in range(60)])
+    h = cover_dedup.hashes(b" ".join(b"w%d" % i for i in range(60)))
     for length in (1, 8, 13, 20):
         runs = cover_dedup.rolling(h, length)
         assert len(runs) == 61 - length
@@ -77,7 +77,8 @@ def test_planted_passages_at_all_shifts(spark, seed):
 def test_defined_cases(spark):
     long = " ".join(f"w{i}" for i in range(40))
     same = "a " * 50
-    rows = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (5, long), (5, "z " + long), (None, long + " end"), (6, same), (7, "short text")]
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (5, long), (5, "z " + long), (None, long + " end"), (6, same), (7, "short text"),
+            (8, "\u00a0".join(f"n{i}" for i in range(30))), (9, "\x1f \x85 \x0b\x0c" + long.replace(" ", "\x0b"))]
     assert result(spark, rows) == brute(rows)
     assert result(spark, [(1, None)]) == brute([(1, None)])
     assert cover_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
@@ -91,6 +92,21 @@ def test_whole_table(spark):
     assert sorted((tuple(r) for r in cover_dedup.digests(docs).collect()), key=str) == brute(rows)
 
 
+def test_word_hashes_do_not_depend_on_place_or_piece(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 101, rng.integers(1, 9)).astype(np.uint8)) for _ in range(4000)] + [b"\xc3\xa4", b"x" * 300]
+    spaces = [b" ", b"\n\n", b"\t ", b"\x0b", b"\x0c\r"]
+    text = b"".join(w + spaces[rng.integers(5)] for w in words)
+    found = cover_dedup.hashes(text)
+    assert text.split() == words and len(found) == len(words)
+    table = dict(zip(words, found.tolist(), strict=True))
+    assert [table[w] for w in words] == found.tolist() and len(set(table.values())) == len(table)
+    monkeypatch.setattr(cover_dedup, "PIECE", 256)
+    small = cover_dedup.hashes(text)
+    assert (small[:-1] == found[:-1]).all() and len(small) == len(found)
+    assert cover_dedup.hashes(words[-1] + b" a")[0] == small[-1] == cover_dedup.hashes(b"b " * 200 + words[-1])[-1]
+
+
 def test_an_anchor_known_in_the_task_is_dealt_by_document():
     x, ids = cover_dedup.put_together(np.array([7, 5, 7, 7]), np.array([1, 1, 2, 3]))
     assert (x >> 2).tolist() == [5, 7, 7, 7]
