@@ -14,6 +14,7 @@ from barloom.llm import (
     packing,
     quality_fm,
     quality_rules,
+    residue_negatives,
     simhash,
     token_store,
     toxicity_crf,
@@ -62,6 +63,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_negatives.mine(residue_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -79,8 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_trie_bpe,
         op10_nearest_neighbours,
+        op12_hard_negatives,
         op13_substring_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.sql(), "op4_license_scan": license_scan.sql()}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.sql(),
+    "op4_license_scan": license_scan.sql(),
+    "op12_hard_negatives": residue_negatives.sql(),
+}
