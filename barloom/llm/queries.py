@@ -16,6 +16,7 @@ from barloom.llm import (
     quality_rules,
     residue_negatives,
     simhash,
+    token_alignment,
     token_store,
     toxicity_crf,
     trie_bpe,
@@ -63,6 +64,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_negatives.mine(residue_negatives.relabelled(table(spark, sf_dir, "embeddings")))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_store,
         op9_trie_bpe,
         op10_nearest_neighbours,
+        op11_cross_tokenizer,
         op12_hard_negatives,
         op13_substring_dedup,
     )
