@@ -9,29 +9,33 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import positive_ln, rounded
 from barloom.functions.series import Series
-from barloom.operators import baselines, features, folds, linear, metrics, sequences, timeseries, trees
-from barloom.operators.matrix import drop_warmup
+from barloom.operators import baselines, folds, lagged, linear, metrics, sequences, timeseries, trees
+from barloom.operators.matrix import drop_warmup, feature_columns
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds
 from barloom.plans import evaltext as e
 from barloom.plans import experiment
 from barloom.plans import sqltext as q
 from barloom.plans.queries_eval import member
+from barloom.plans.queries_features import full_matrix
 from barloom.plans.registry import query
 from barloom.plans.session import cut_lineage
 
-COLUMNS = ("ret_lag1", "px_ret_mean_5", "px_ret_std_21", "px_dist_max_21", "px_cumret_30", "vol_zscore_21")
 
 
 def matrix(spark, sf, target):
-    """Price and volume features with targets and meta, after warmup."""
-    p = add_targets(add_meta(features.add_volume(features.add_price(ds.frozen_panel(spark, sf)))))
-    keep = ["asset", "date", "ret_1d", "dir_1d", "vol_1d", "realised_var_now", *COLUMNS]
-    return cut_lineage(drop_warmup(p, ds.WARMUP, target).select(*keep))
+    """Every feature of every family with targets and meta, after warmup; and the feature names."""
+    m = drop_warmup(full_matrix(spark, sf), ds.WARMUP, target)
+    names = feature_columns(m)
+    keep = ["asset", "date", "ret_1d", "dir_1d", "vol_1d", "realised_var_now"]
+    return cut_lineage(m.select(*dict.fromkeys([*keep, *names]))), names
 
 
-def scaled(spark, sf, target, plan=ds.EXPANDING):
-    return experiment.scaled_membership(matrix(spark, sf, target), plan, COLUMNS)
+def designed(spark, sf, target, plan=ds.EXPANDING):
+    """Scaled rows (fold, split, asset, date, x, y) of all folds and features, materialised; and the feature names."""
+    m, names = matrix(spark, sf, target)
+    scaled = experiment.scaled_membership(m, plan, names)
+    return cut_lineage(linear.design(scaled, names, target)), names
 
 
 _ALPHA = ", ".join(str(a) for a in linear.ALPHAS)
@@ -196,10 +200,9 @@ def asset_codes(spark, sf):
 
 @query("decomposed_linear")
 def decomposed_linear(spark, sf):
-    """Linear forecaster on the trend and seasonal parts of each lookback window of 30 rows."""
-    m = scaled(spark, sf, "ret_1d")
-    rows = cut_lineage(sequences.window_design(m, ["ret_lag1", "vol_zscore_21"], "ret_1d"))
-    return rounded(linear.predict(rows, linear.fit_ridge_pooled(rows), "dlinear", "ret_1d"))
+    """Linear forecaster on the trend and seasonal parts of each window of 30 rows of all features, in both scopes."""
+    rows, _ = designed(spark, sf, "ret_1d")
+    return rounded(lagged.predict(rows, lagged.fit(rows), "dlinear", "ret_1d"))
 
 
 @query("experiment_results")
