@@ -123,27 +123,35 @@ def loss(margin: np.ndarray, y: np.ndarray, classify: bool) -> float:
 
 
 def histograms(cells: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
-    """Sums of (gradient, curvature, rows) by node, column and bin; ``cells`` holds column * BINS + bin."""
+    """Sums of gradient, curvature and rows by node, column and bin; ``cells`` holds column * BINS + bin."""
     width = cells.shape[1]
     flat = (cells + node[:, None] * (width * BINS)).ravel()
     size = nodes * width * BINS
-    parts = [np.bincount(flat, np.repeat(g, width), size), np.bincount(flat, np.repeat(h, width), size), np.bincount(flat, minlength=size)]
-    return np.stack(parts, axis=-1).reshape(nodes, width, BINS, 3)
+    rows = np.bincount(flat, minlength=size).astype(float)
+    curve = rows if (h == 1.0).all() else np.bincount(flat, np.repeat(h, width), size)
+    return np.stack([np.bincount(flat, np.repeat(g, width), size), curve, rows]).reshape(3, nodes, width, BINS)
 
 
-def best_split(sums: np.ndarray, columns: np.ndarray) -> tuple:
-    """(feature, bin, gain, totals, left totals) of one node; feature -1 where no split gains."""
-    left = np.cumsum(sums, axis=1)[:, :-1]
-    total = sums[0].sum(axis=0)
-    right = total - left
-    fine = (left[..., 2] >= MIN_LEAF) & (right[..., 2] >= MIN_LEAF) & (left[..., 1] >= MIN_HESSIAN) & (right[..., 1] >= MIN_HESSIAN)
-    score = lambda s: soft(s[..., 0]) ** 2 / (s[..., 1] + L2)
-    gain = np.where(fine, score(left) + score(right) - score(total), -np.inf)
-    at = int(np.argmax(gain))
-    f, b = divmod(at, gain.shape[1])
-    if not gain[f, b] > 1e-12:
-        return (-1, 0, 0.0, *total.tolist(), 0.0, 0.0, 0.0)
-    return (int(columns[f]), b, float(gain[f, b]), *total.tolist(), *left[f, b].tolist())
+def score(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.square(np.maximum(np.abs(g) - L1, 0.0)) / (h + L2)
+
+
+def best_splits(sums: np.ndarray, columns: np.ndarray) -> list[tuple]:
+    """(feature, bin, gain, totals, left totals) of every node; feature -1 where no split gains."""
+    left = np.cumsum(sums, axis=3)
+    total, left = left[:, :, 0, -1], left[:, :, :, :-1]
+    right = total[:, :, None, None] - left
+    fine = (np.minimum(left[2], right[2]) >= MIN_LEAF) & (np.minimum(left[1], right[1]) >= MIN_HESSIAN)
+    gain = score(left[0], left[1]) + score(right[0], right[1]) - score(total[0], total[1])[:, None, None]
+    gain = np.where(fine, gain, -np.inf).reshape(total.shape[1], -1)
+    best, out = np.argmax(gain, axis=1), []
+    for node, at in enumerate(best.tolist()):
+        f, b = divmod(at, BINS - 1)
+        if gain[node, at] > 1e-12:
+            out.append((int(columns[f]), b, float(gain[node, at]), *total[:, node].tolist(), *left[:, node, f, b].tolist()))
+        else:
+            out.append((-1, 0, 0.0, *total[:, node].tolist(), 0.0, 0.0, 0.0))
+    return out
 
 
 class Stopper:
@@ -255,7 +263,8 @@ def boost(block: Block, seed: int, classify: bool, rounds: int, patience: int) -
         used = np.flatnonzero(sampled_rows(block.key[train], seed, r))
         columns = sampled_columns(width, seed, r)
         g, h = gradients(margin[train[used]], y[train[used]], classify)
-        some = cells[np.ix_(used, columns)] - columns * BINS + np.arange(len(columns)) * BINS
+        shift = BINS * (np.arange(len(columns)) - columns)
+        some = cells[used][:, columns] + shift
         tree, node, mine = Tree(), np.zeros(len(used), np.int64), bins[train[used]]
         for depth in range(DEPTH):
             first, nodes = 2**depth - 1, 2**depth
@@ -263,9 +272,9 @@ def boost(block: Block, seed: int, classify: bool, rounds: int, patience: int) -
             if not here.any():
                 break
             sums = histograms(some[here], g[here], h[here], node[here] - first, nodes)
-            for k in range(nodes):
-                if sums[k, 0, :, 2].any():
-                    tree.take(first + k, best_split(sums[k], columns))
+            for k, split in enumerate(best_splits(sums, columns)):
+                if split[5] > 0:
+                    tree.take(first + k, split)
             node = tree.place(mine, depth + 1)
         tree.best_first()
         margin = margin + tree.value[tree.place(bins)]
@@ -363,7 +372,7 @@ def large_fits(
 
         def out(total: dict, salt: int) -> pd.DataFrame:
             rows = [
-                [*key, first + k, salt, sums[k].tobytes(), value if k == 0 else 0.0, seen if k == 0 else 0]
+                [*key, first + k, salt, sums[:, k].tobytes(), value if k == 0 else 0.0, seen if k == 0 else 0]
                 for key, (sums, value, seen) in total.items() for k in range(nodes)
             ]
             return pd.DataFrame(rows, columns=_names(SUMS))
@@ -374,9 +383,9 @@ def large_fits(
             return row.assign(loss=pdf["loss"].sum(), seen=pdf["seen"].sum())
 
         def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-            sums = sum(np.frombuffer(s) for s in pdf["sums"]).reshape(-1, BINS, 3)
+            sums = sum(np.frombuffer(s) for s in pdf["sums"]).reshape(3, 1, -1, BINS)
             key = pdf.iloc[0]
-            split = best_split(sums, sampled_columns(width, int(key["seed"]), r))
+            split = best_splits(sums, sampled_columns(width, int(key["seed"]), r))[0]
             return pd.DataFrame([[key["fold"], key["scope"], key["seed"], key["node"], *split, pdf["loss"].sum(), pdf["seen"].sum()]], columns=_names(CHOSEN))
 
         told = held.mapInPandas(partial, SUMS).groupBy("fold", "scope", "seed", "node", "salt").applyInPandas(add, SUMS)

@@ -2,60 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import baselines, compare, folds, linear, metrics, scaling
-from barloom.plans.session import cut_lineage
+from barloom.operators import folds, scaling
+from barloom.plans import study
+from barloom.plans.session import cut_lineage, ensure_checkpoint_dir
 from barloom.sources import store
 
 
-def scaled_membership(matrix: DataFrame, plan: folds.FoldPlan, columns: Sequence[str]) -> DataFrame:
-    """Fold membership with fold-locally scaled features."""
-    m = cut_lineage(folds.assign_splits(matrix, folds.walk_forward_folds(matrix, plan)))
-    return scale_members(m, columns)
-
-
 def scale_members(m: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale ``columns`` in place and materialise; ``m`` should be materialised itself."""
     return cut_lineage(scaling.transform(m, scaling.fit_scaler(m, columns), columns))
 
 
-def linear_forecasts(scaled: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """Ridge (or logistic for direction) in both scopes."""
-    rows = linear.design(scaled, columns, target)
-    logistic = target == "dir_1d"
-    if logistic:
-        pooled = linear.fit_logistic_pooled(rows, len(columns))
-        own = linear.fit_logistic_per_asset(rows)
-    else:
-        pooled, own = linear.fit_ridge_pooled(rows), linear.fit_ridge_per_asset(rows)
-    return linear.predict(rows, pooled, "ridge", target, logistic).unionByName(
-        linear.predict(rows, own, "ridge" + linear.SUFFIX, target, logistic)
-    )
-
-
 def run_experiment(
-    matrix: DataFrame, plan: folds.FoldPlan, columns: Sequence[str], target: str
+    spark: SparkSession, members: DataFrame, rows: DataFrame, names: Sequence[str], target: str, base: str | None = None, run_id: str = "study"
 ) -> dict[str, DataFrame]:
-    """Predictions, per-fold results, tests and breakdowns of all forecasters."""
-    members = cut_lineage(folds.assign_splits(matrix, folds.walk_forward_folds(matrix, plan)))
-    scaled = scale_members(members, columns)
-    frames = [baselines.baselines_for(members, target), linear_forecasts(scaled, columns, target)]
-    predictions = cut_lineage(reduce(DataFrame.unionByName, frames))
-    column = "proba" if target == "dir_1d" else "pred"
-    base, loss = compare.default_baseline(target), compare.default_loss(target)
-    return {
-        "predictions": predictions,
-        "results": metrics.score(predictions, ["model", "fold", "seed"], target),
-        "dm": compare.dm_table(predictions, base, loss, column),
-        "dm_per_asset": compare.dm_table(predictions, base, loss, column, per_asset=True),
-        "per_asset": compare.per_asset_results(predictions, target),
-        "scope": compare.scope_comparison(predictions, column),
-    }
+    """Predictions, per-fold results, tests and breakdowns of every family in both scopes.
+
+    ``base`` is a folder that executors share; starting again with the same one goes on where the last run stopped.
+    """
+    if base is None:
+        ensure_checkpoint_dir(spark)
+        base = f"{spark.sparkContext.getCheckpointDir()}/study-{uuid.uuid4().hex}"
+    store = study.Store(spark, base, run_id)
+    study.run(store, study.Data(members, rows, names, target), study.families_for(target))
+    return study.tables(store, target)
 
 
 def persist(spark: SparkSession, base: str, run_id: str, target: str, tables: dict[str, DataFrame]) -> None:

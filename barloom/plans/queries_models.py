@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import positive_ln, rounded
 from barloom.functions.series import Series
-from barloom.operators import baselines, folds, lagged, linear, metrics, sequences, timeseries, trees
+from barloom.operators import baselines, boosting, folds, lagged, linear, metrics, sequences, timeseries
 from barloom.operators.matrix import drop_warmup, feature_columns
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds
 from barloom.plans import evaltext as e
-from barloom.plans import experiment
+from barloom.plans import experiment, study
 from barloom.plans import sqltext as q
 from barloom.plans.queries_eval import member
 from barloom.plans.queries_features import full_matrix
 from barloom.plans.registry import query
-from barloom.plans.session import cut_lineage
+from barloom.plans.session import cut_lineage, remembered
 
 
 
@@ -32,10 +32,14 @@ def matrix(spark, sf, target):
 
 
 def designed(spark, sf, target, plan=ds.EXPANDING):
-    """Scaled rows (fold, split, asset, date, x, y) of all folds and features, materialised; and the feature names."""
-    m, names = matrix(spark, sf, target)
-    scaled = experiment.scaled_membership(m, plan, names)
-    return cut_lineage(linear.design(scaled, names, target)), names
+    """Scaled rows (fold, split, asset, date, x, y) of all folds and features, their names, and the unscaled members; once per session."""
+
+    def build():
+        m, names = matrix(spark, sf, target)
+        members = cut_lineage(folds.assign_splits(m, folds.walk_forward_folds(m, plan)))
+        return cut_lineage(linear.design(experiment.scale_members(members, names), names, target)), names, members
+
+    return remembered(spark, ("design", sf, target, plan), build)
 
 
 _ALPHA = ", ".join(str(a) for a in linear.ALPHAS)
@@ -60,28 +64,32 @@ def ridge_one_feature(spark, sf):
 
 @query("ridge_coefficients")
 def ridge_coefficients(spark, sf):
-    rows = linear.design(scaled(spark, sf, "ret_1d"), COLUMNS, "ret_1d")
+    rows, names, _ = designed(spark, sf, "ret_1d")
     both = linear.fit_ridge_pooled(rows).unionByName(linear.fit_ridge_per_asset(rows))
-    return rounded(linear.coefficients(both, COLUMNS, "ridge"))
+    return rounded(linear.coefficients(both, names, "ridge"))
 
 
 @query("ridge_importance")
 def ridge_importance(spark, sf):
-    rows = linear.design(scaled(spark, sf, "ret_1d"), COLUMNS, "ret_1d")
-    return rounded(linear.importance(linear.fit_ridge_pooled(rows), COLUMNS, "ridge"))
+    rows, names, _ = designed(spark, sf, "ret_1d")
+    return rounded(linear.importance(linear.fit_ridge_pooled(rows), names, "ridge"))
 
 
 @query("logistic_direction")
 def logistic_direction(spark, sf):
-    """Pooled and per-asset logistic probabilities over all folds."""
-    return rounded(experiment.linear_forecasts(scaled(spark, sf, "dir_1d"), COLUMNS, "dir_1d"))
+    """Pooled and per-asset logistic probabilities over all folds and features."""
+    rows, names, members = designed(spark, sf, "dir_1d")
+    return rounded(study.linear_family(study.Data(members, rows, names, "dir_1d"))[0])
 
 
 def boosted(spark, sf):
-    """Two seeds of boosted trees over yearly test windows, at most 15 rounds each."""
-    rows = cut_lineage(linear.design(scaled(spark, sf, "dir_1d", ds.YEARLY), COLUMNS, "dir_1d"))
-    ids = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    return trees.fit_predict(rows, ids, COLUMNS, "boosted_trees", "dir_1d", seeds=(0, 1), max_iter=15)
+    """Five seeds of boosted trees in both scopes over all folds and features; once per session."""
+
+    def build():
+        rows, names, _ = designed(spark, sf, "dir_1d")
+        return boosting.fit_predict(rows, names, "boosted_trees", "dir_1d", study.SEEDS)
+
+    return remembered(spark, ("boosted", sf), build)
 
 
 @query("boosted_trees_direction")
@@ -201,12 +209,45 @@ def asset_codes(spark, sf):
 @query("decomposed_linear")
 def decomposed_linear(spark, sf):
     """Linear forecaster on the trend and seasonal parts of each window of 30 rows of all features, in both scopes."""
-    rows, _ = designed(spark, sf, "ret_1d")
+    rows, _, _ = designed(spark, sf, "ret_1d")
     return rounded(lagged.predict(rows, lagged.fit(rows), "dlinear", "ret_1d"))
 
 
+def studied(spark, sf, target="ret_1d"):
+    """The tables of one study of every family in both scopes; once per session."""
+
+    def build():
+        rows, names, members = designed(spark, sf, target)
+        found = experiment.run_experiment(spark, members, rows, names, target)
+        return found["ledger"], found
+
+    return remembered(spark, ("study", sf, target), build)[1]
+
+
 @query("experiment_results")
 def experiment_results(spark, sf):
-    """Per-fold scores of baselines and ridge in both scopes from one study."""
-    t = experiment.run_experiment(matrix(spark, sf, "ret_1d"), ds.EXPANDING, COLUMNS, "ret_1d")
-    return rounded(t["results"])
+    """Per-fold scores of baselines, ridge, boosted trees, the window model and ARMA in both scopes."""
+    return rounded(studied(spark, sf)["results"])
+
+
+@query("experiment_ledger")
+def experiment_ledger(spark, sf):
+    """The fits of the study: finished, skipped for want of rows, or failed."""
+    return studied(spark, sf)["ledger"].select("model", "fold", "seed", "status", "n_rows")
+
+
+@query("study_scope_comparison")
+def study_scope_comparison(spark, sf):
+    """Pooled against per-asset arms of ridge, boosted trees and the window model."""
+    return rounded(studied(spark, sf)["scope"])
+
+
+@query("study_importance_top")
+def study_importance_top(spark, sf):
+    """Features by the gains of boosted trees and the coefficients of ridge."""
+    return rounded(studied(spark, sf)["importance_top"])
+
+
+@query("study_importance_rank_stability")
+def study_importance_rank_stability(spark, sf):
+    return rounded(studied(spark, sf)["importance_rank_stability"])

@@ -43,3 +43,19 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+_kept: dict[tuple, tuple] = {}
+
+
+def remembered(spark: SparkSession, key: tuple, build):
+    """``build()``, a tuple with a materialised DataFrame first, once per session; again if its files are gone."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key in _kept:
+        try:
+            _kept[key][0].isEmpty()
+        except Exception:  # the shared folder was cleaned between two queries
+            del _kept[key]
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import baselines, folds, linear, scaling, sequences, timeseries, trees
+from barloom.operators import baselines, folds, linear, scaling, sequences, timeseries
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans.session import cut_lineage
 from tests.conftest import make_panel, table
@@ -117,20 +117,6 @@ def test_arma_takes_only_stationary_fits_and_all_returns():
         assert abs(path[k] - forecast) < 1e-12
 
 
-def test_boosting_keeps_the_round_that_scores_best(spark, members):
-    assert trees.best_round([3.0, 2.0, 2.5, 1.0, 4.0], patience=100) == 4
-    assert trees.best_round([3.0, 2.0, 2.5, 2.6, 1.0], patience=2) == 2
-    assert trees.best_round([1.0]) == 1
-    rows = cut_lineage(linear.design(members.filter("fold = 0"), ["ret_lag1"], "dir_1d"))
-    learnt = rows.withColumn("x", F.array(F.col("y") + F.rand(3)))
-    out, gains = trees.fit_predict(learnt, [0], ["ret_lag1"], "trees", "dir_1d", max_iter=4)
-    scored = table(out, "asset", "date")
-    assert ((scored["proba"] > 0.5) == (scored["y_true"] > 0.5)).mean() > 0.8
-    assert [tuple(r) for r in gains.collect()] == [("trees", 0, 0, "ret_lag1", 1.0)]
-    with pytest.raises(ValueError):
-        trees.fit_predict(learnt.withColumn("y", F.lit(1.0)), [0], ["ret_lag1"], "trees", "dir_1d", max_iter=2)
-
-
 def test_window_offsets_cover_every_asset(members):
     m = members.filter("fold = 0")
     n = m.select("asset").distinct().count()
