@@ -27,7 +27,7 @@ def matrix(spark, sf, target):
     """Every feature of every family with targets and meta, after warmup; and the feature names."""
     m = drop_warmup(full_matrix(spark, sf), ds.WARMUP, target)
     names = feature_columns(m)
-    keep = ["asset", "date", "ret_1d", "dir_1d", "vol_1d", "realised_var_now"]
+    keep = ["asset", "date", "ret_1d", "dir_1d", "vol_1d", "ret_lag1", "realised_var_now"]
     return cut_lineage(m.select(*dict.fromkeys([*keep, *names]))), names
 
 
