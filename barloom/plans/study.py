@@ -85,7 +85,7 @@ def families_for(target: str) -> list[Family]:
         for variant in ("garch11", "egarch11"):
             out.append(Family(variant, (variant,), lambda d, v=variant: (timeseries.variance_predictions(d.members, v), None)))
     else:
-        out.append(Family("arma", ("arma",), lambda d: (timeseries.arma_predictions(d.members, d.target), None)))
+        out.append(Family("arma", ("arima",), lambda d: (timeseries.arma_predictions(d.members, d.target), None)))
     return out
 
 
@@ -128,8 +128,7 @@ def _attempt(store: Store, data: Data, family: Family, folds: Sequence[int], wan
     attempt, begun = uuid.uuid4().hex, time.perf_counter()
     forecasts, gains = family.fit(data.only(folds))
     names = [c.split()[0] for c in FORECASTS.split(", ")]
-    known = F.col("model").isin(list(family.models))
-    store.write("forecasts", forecasts.filter(known).select(*names).withColumn("seed", F.col("seed").cast("int")), attempt)
+    store.write("forecasts", forecasts.select(*names).withColumn("seed", F.col("seed").cast("int")), attempt)
     if gains is not None:
         store.write("gains", gains.select(*[c.split()[0] for c in GAINS.split(", ")]), attempt)
     written = store._read("forecasts", FORECASTS + ", attempt string").filter(F.col("attempt") == attempt)
@@ -137,6 +136,8 @@ def _attempt(store: Store, data: Data, family: Family, folds: Sequence[int], wan
         (r.model, r.fold, r.seed): (r.n, r.known)
         for r in written.groupBy("model", "fold", "seed").agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("known")).collect()
     }
+    if more := {k[0] for k in counts} - set(family.models):
+        raise ValueError(f"{family.name} forecasts models that it does not name: {sorted(more)}")
     seconds = round(time.perf_counter() - begun, 3)
     rows = []
     for model, fold, seed in sorted(wanted, key=str):

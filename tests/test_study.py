@@ -76,6 +76,13 @@ def test_a_killed_run_resumes_without_fitting_twice(spark, data, tmp_path):
 
 def test_failed_folds_are_rows_and_the_others_go_on(spark, data, tmp_path):
     store = study.Store(spark, str(tmp_path), "r2")
+    arma = study.families_for("ret_1d")[-1]
+    study.run(store, data.only([0]), [arma])
+    assert ledger(store) == {("arima", 0): study.DONE}
+    wrong = study.Family("wrong", ("other",), arma.fit)
+    study.run(store, data.only([0]), [wrong])
+    assert "does not name" in store.ledger().filter("model = 'other'").first()["message"]
+    store = study.Store(spark, str(tmp_path), "r3")
     study.run(store, data, [ridge(failing=(1,))])
     assert ledger(store) == {(m, f): study.FAILED if f == 1 else study.DONE for m in ("ridge", "ridge" + linear.SUFFIX) for f in range(3)}
     assert "cannot fit [1]" in store.ledger().filter("fold = 1").first()["message"]
