@@ -12,7 +12,7 @@ every vector is indexed. The share probed is the smallest that finds TARGET of t
 A long list is cut into blocks of points and its queries into chunks, so a task holds a bounded part of both.
 
 Defined cases: vectors that are NULL, zero or hold NULL or non-finite components take no part, nor do those of another length than the
-most frequent one (the longer at a tie); rows with a NULL id are left out; a query's own id is never its neighbour, so repeated ids do not find each other; equal
+most frequent one of the candidates (the longer at a tie); rows with a NULL id are left out; a query's own id is never its neighbour, so repeated ids do not find each other; equal
 scores go to the smaller id; with fewer than k candidates all are returned; an empty table gives an empty result;
 columns other than vec_id and embedding are not read.
 """
@@ -39,14 +39,18 @@ MAX_LISTS = 1_024
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, x (array<double>) of the vectors that take part."""
+    """vec_id, x (array<double>) of the vectors that may take part, of any length."""
     x = F.col("embedding").cast("array<double>")
     rows = rows.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = rows.where(F.col("x").isNotNull() & fine & F.exists("x", lambda v: v != 0))
+    return rows.where(F.col("x").isNotNull() & fine & F.exists("x", lambda v: v != 0))
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length (the longer at a tie), 0 without rows."""
     sizes = rows.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size"))
     first = sizes.first()
-    return rows.where(F.size("x") == (first["size"] if first else 0))
+    return first["size"] if first else 0
 
 
 class Index:
@@ -159,6 +163,8 @@ def _parts(counts: dict[int, int], size: int) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for `queries` (vec_id, embedding) among `vectors` (vec_id, embedding)."""
     rows, asked = valid_vectors(vectors), valid_vectors(queries)
+    same = F.size("x") == usual_length(rows)  # the candidates' length holds for the queries too
+    rows, asked = rows.where(same), asked.where(same)
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     total = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("largest")).first()
     empty = "query_id long, rank int, vec_id long, score double"

@@ -359,3 +359,12 @@ def test_few_candidates_are_all_returned(spark):
     rows = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)] + [(0, [1.0, 1.0])], "vec_id long, embedding array<float>")
     found = [(r["rank"], r["vec_id"]) for r in adaptive_scan.nearest(rows).where("query_id = 0").orderBy("rank").collect()]
     assert {v for _, v in found} == {1, 2, 3, 4}
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    """Queries whose usual length is not the candidates' are left out; the others find their neighbours."""
+    rows = [(i, [1.0 + i, 2.0]) for i in range(1, 20)] + [(20 * i, [1.0, 2.0, 3.0]) for i in range(1, 4)] + [(400, [2.0, 1.0])]
+    found = adaptive_scan.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (400, 1, 19, 42.0), (400, 2, 18, 40.0), (400, 3, 17, 38.0),
+    ]
