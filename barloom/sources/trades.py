@@ -24,12 +24,12 @@ def bars(
 ) -> DataFrame:
     """One row per (asset, bucket): first/last/extreme price and summed activity.
 
-    A single partially aggregated pass, so a bucket holding most of the trades still
-    reaches the shuffle as one row per map task.  ``order_by`` must order the trades of
-    a bucket totally, in a fixed-width type (a number or a timestamp) that keeps the
-    aggregate hash based.  Where it does not, ``ties`` orders trades of equal
-    ``order_by``: a second pass meets the first and last key of each bar and compares
-    only the trades that hold them.
+    A single partially aggregated pass: one scan, no join, one exchange, and a bucket
+    holding most of the trades still reaches the shuffle as one row per map task.
+    ``order_by`` must order the trades of a bucket totally.  A number or a timestamp keeps
+    the aggregate hash based.  Where it does not suffice, ``ties`` orders trades of equal
+    ``order_by``; a key of several columns makes each map task sort its own split by bar
+    before it aggregates, which costs no exchange and spills where memory is short.
     """
     # Evaluated once per trade, not once per aggregate.
     rows = trades.select(
@@ -37,13 +37,12 @@ def bars(
         col(volume).alias("_v"), col(quote_volume).alias("_q"), taker_buy.alias("_t"),
         *([] if ties is None else [ties.alias("_ties")]),
     )
-    ends = [F.min_by("_p", "_o").alias("open"), F.max_by("_p", "_o").alias("close")]
-    if ties is not None:
-        ends = [F.min("_o").alias("_first"), F.max("_o").alias("_last")]
+    key = F.col("_o") if ties is None else F.struct("_o", "_ties")
     out = (
         rows.groupBy(bucket_name, "asset")
         .agg(
-            *ends,
+            F.min_by("_p", key).alias("open"),
+            F.max_by("_p", key).alias("close"),
             F.max("_p").alias("high"),
             F.min("_p").alias("low"),
             F.sum("_v").alias("volume"),
@@ -52,20 +51,7 @@ def bars(
             F.coalesce(F.sum("_t"), F.lit(0.0)).alias("taker_buy_quote_volume"),
         )
     )
-    if ties is not None:
-        out = out.join(_end_prices(rows, out, bucket_name), [bucket_name, "asset"])
     return out.select(
         "asset", bucket_name, "open", "high", "low", "close", "volume", "quote_volume",
         "trades", "taker_buy_quote_volume", F.lit(source).alias("source"),
     )
-
-
-def _end_prices(rows: DataFrame, bars: DataFrame, bucket_name: str) -> DataFrame:
-    """First and last price per bar, among the trades that hold its first or last key."""
-    bounds = bars.select(bucket_name, "asset", "_first", "_last")
-    at_end = (F.col("_o") == F.col("_first")) | (F.col("_o") == F.col("_last"))
-    full = F.struct("_o", "_ties")
-    survivors = rows.select(bucket_name, "asset", "_p", "_o", "_ties").join(bounds, [bucket_name, "asset"])
-    return survivors.filter(at_end).groupBy(bucket_name, "asset").agg(
-        F.min_by("_p", full).alias("open"), F.max_by("_p", full).alias("close")
-    )
