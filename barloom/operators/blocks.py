@@ -64,6 +64,18 @@ def blockwise(
 
     ``build`` must look back at most ``halo`` rows and never forward.
     """
-    pieces = with_halo(number_rows(df, keys, order, bucket), halo, block_rows)
-    done = build(pieces, (*keys, "_block"))
-    return done.filter("_own").drop("_own", "_block", "_pos")
+    numbered = number_rows(df, keys, order, bucket)
+    return on_blocks(numbered, build, halo=halo, keys=keys, block_rows=block_rows).drop("_pos")
+
+
+def on_blocks(
+    numbered: DataFrame,
+    build: Callable[[DataFrame, tuple[str, ...]], DataFrame],
+    *,
+    halo: int,
+    keys: Sequence[str] = ("asset",),
+    block_rows: int = DEFAULT_BLOCK,
+) -> DataFrame:
+    """``blockwise`` for rows numbered before; keeps their ``_pos``."""
+    done = build(with_halo(numbered, halo, block_rows), (*keys, "_block"))
+    return done.filter("_own").drop("_own", "_block")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import (
@@ -20,7 +20,8 @@ from barloom.functions.expr import (
 )
 from barloom.functions.rolling import add_rolling
 from barloom.functions.series import Series
-from barloom.operators.ewm import add_ewm, from_span
+from barloom.operators import blocks
+from barloom.operators.ewm import add_ewm, add_ewm_blocks, from_span
 from barloom.operators.targets import parkinson
 
 # Window lengths in rows.
@@ -30,6 +31,14 @@ MOMENT_WINDOWS = (21, 63)
 CUMULATIVE_WINDOWS = (7, 30, 90)
 EXTREME_WINDOWS = (21, 63)
 RANGE_WINDOWS = (5, 21)
+SMOOTHED = {
+    "_avg_gain": ("_gain", 1 / 14),
+    "_avg_loss": ("_loss", 1 / 14),
+    "_fast": ("close", from_span(12)),
+    "_slow": ("close", from_span(26)),
+}
+SIGNAL = {"_signal": ("_macd", from_span(9))}
+TECH_HALO = 21
 
 
 def _scratch(df: DataFrame, keys) -> DataFrame:
@@ -138,27 +147,40 @@ def add_range_vol(panel: DataFrame, keys=("asset",)) -> DataFrame:
 def add_technical(panel: DataFrame, keys=("asset",)) -> DataFrame:
     """``tech_``: RSI, MACD, Bollinger position, stochastics and OBV z-score."""
     s = Series(keys)
+    df = add_ewm(_moves(panel, s), SMOOTHED, s).withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    return _tidy(_technical(add_ewm(df, SIGNAL, s), s), panel)
+
+
+def add_technical_blocks(
+    panel: DataFrame, *, bucket: Column, keys=("asset",), block_rows: int = blocks.DEFAULT_BLOCK
+) -> DataFrame:
+    """``add_technical`` for series too long for one task; ``bucket`` as in ``blocks.number_rows``.
+
+    Smoothed values are carried over blocks as affine maps.  The OBV enters only as a z-score,
+    which a running sum begun in the block's halo leaves unchanged.
+    """
+    numbered = blocks.number_rows(panel, keys, ("date",), bucket)
+    cut = {"keys": keys, "block_rows": block_rows}
+    df = blocks.on_blocks(numbered, lambda d, k: _moves(d, Series(k)), halo=1, **cut)
+    df = add_ewm_blocks(df, SMOOTHED, **cut).withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    df = add_ewm_blocks(df, SIGNAL, **cut)
+    return _tidy(blocks.on_blocks(df, lambda d, k: _technical(d, Series(k)), halo=TECH_HALO, **cut), panel)
+
+
+def _moves(panel: DataFrame, s: Series) -> DataFrame:
     delta = F.col("_delta")
-    df = panel.withColumn("_delta", s.diff("close"))
-    df = df.withColumns(
+    return panel.withColumn("_delta", s.diff("close")).withColumns(
         {
             "_gain": floor_at(delta, 0.0),
             "_loss": floor_at(-delta, 0.0),
             "_signed": F.signum(delta) * F.col("volume"),
         }
     )
-    df = add_ewm(
-        df,
-        {
-            "_avg_gain": ("_gain", 1 / 14),
-            "_avg_loss": ("_loss", 1 / 14),
-            "_fast": ("close", from_span(12)),
-            "_slow": ("close", from_span(26)),
-        },
-        s,
-    ).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    df = add_ewm(df, {"_signal": ("_macd", from_span(9))}, s)
 
+
+def _technical(df: DataFrame, s: Series) -> DataFrame:
+    """Indicators of rows with their moves and smoothed values."""
+    delta = F.col("_delta")
     df = df.withColumn("_obv", F.when(delta.isNotNull(), s.cumsum("_signed")))
     df = add_rolling(
         df,
@@ -193,7 +215,7 @@ def add_technical(panel: DataFrame, keys=("asset",)) -> DataFrame:
             "tech_stoch_d_14": (k + s.lag(k, 1) + s.lag(k, 2)) / 3,
         }
     )
-    return _tidy(df, panel)
+    return df
 
 
 def add_calendar(panel: DataFrame, keys=("asset",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import rounded
 from barloom.operators import audit, auxiliary, blocks, cross_asset, features, matrix
-from barloom.operators.ewm import add_ewm
+from barloom.operators.ewm import add_ewm, add_ewm_blocks
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds
 from barloom.plans import sqltext as q
@@ -168,7 +168,7 @@ def ewm_sql(x: str, alpha: str) -> str:
     return f"list_reduce({hist}, lambda a, v: (1 - {alpha}) * a + {alpha} * v)"
 
 
-TECH_CTE = q.RET + f""",
+TECH_STEPS = f"""
 d AS (SELECT *, close - lag(close) OVER ({q.W}) AS delta FROM r),
 u AS (SELECT *, CASE WHEN delta IS NOT NULL THEN greatest(delta, 0) END AS gain,
    CASE WHEN delta IS NOT NULL THEN greatest(-delta, 0) END AS loss, sign(delta) * volume AS sv FROM d),
@@ -179,6 +179,7 @@ e AS (SELECT *, {ewm_sql("gain", "1.0/14")} AS ag, {ewm_sql("loss", "1.0/14")} A
      100 * (close - {q.roll("min", "low", 14)}) / ({q.roll("max", "high", 14)} - {q.roll("min", "low", 14)}) END AS k
    FROM u),
 x AS (SELECT *, {ewm_sql("macd", "0.2")} AS sig FROM e)"""
+TECH_CTE = q.RET + "," + TECH_STEPS
 _SD20 = q.roll("stddev_samp", "close", 20)
 TECH = {
     "tech_rsi_14": "CASE WHEN ag + al <> 0 THEN 100 * ag / (ag + al) END",
@@ -432,3 +433,24 @@ def intraday_blocks(spark, sf):
         p, features.add_price, halo=91, bucket=F.to_date("date"), block_rows=128
     )
     return keyed(out.withColumn("date", F.col("date").cast("timestamp_ntz")), INTRADAY)
+
+
+EVENT_ROWS = q.EVENT_BARS + ", r AS (SELECT * FROM ebars)"
+
+
+@query(
+    "intraday_ewm",
+    q.keyed(EVENT_ROWS, {"ewm_12": ewm_sql("close", "2.0/13"), "ewm_06": ewm_sql("close", "0.06")}, "r"),
+)
+def intraday_ewm(spark, sf):
+    """Exponential means of an intraday panel, carried from block to block."""
+    numbered = blocks.number_rows(ds.event_bars(spark, sf), ("asset",), ("date",), F.to_date("date"))
+    out = add_ewm_blocks(numbered, {"ewm_12": ("close", 2 / 13), "ewm_06": ("close", 0.06)}, block_rows=128)
+    return keyed(out.withColumn("date", F.col("date").cast("timestamp_ntz")), ["ewm_12", "ewm_06"])
+
+
+@query("intraday_technical", q.keyed(EVENT_ROWS + "," + TECH_STEPS, TECH, "x"))
+def intraday_technical(spark, sf):
+    """RSI, MACD, bands, stochastics and OBV of an intraday panel, block by block."""
+    out = features.add_technical_blocks(ds.event_bars(spark, sf), bucket=F.to_date("date"), block_rows=128)
+    return keyed(out.withColumn("date", F.col("date").cast("timestamp_ntz")), TECH)

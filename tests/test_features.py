@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import add_rolling
 from barloom.functions.series import Series
 from barloom.operators import audit, blocks, cross_asset, features
-from barloom.operators.ewm import add_ewm
+from barloom.operators.ewm import add_ewm, add_ewm_blocks
 from barloom.operators.targets import add_targets
 from tests.conftest import table
 
@@ -49,6 +49,34 @@ def test_ewm_matches_the_recursion(panel):
         np.testing.assert_allclose(g["w"], g["close"].ewm(alpha=1 / 14, adjust=False).mean(), rtol=1e-12)
 
 
+def test_ewm_over_blocks_equals_the_recursion(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for asset, n, late, flat in (("a", 900, 0, 0), ("b", 333, 130, 0), ("c", 700, 1, 500), ("d", 5, 9, 0)):
+        x = rng.lognormal(0, 1, n)
+        x[n - flat:] = 0.0
+        rows += [(asset, i, None if i < late else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "asset string, date int, x double")
+    specs = {"quick": ("x", 0.4), "slow": ("x", 0.02)}
+    for size in (7, 64, 1000):
+        numbered = blocks.number_rows(df, ("asset",), ("date",), F.floor(F.col("date") / 50))
+        got = table(add_ewm_blocks(numbered, specs, block_rows=size), "asset", "date")
+        assert len(got) == len(rows)
+        for out, (_, alpha) in specs.items():
+            for _, g in got.groupby("asset"):
+                want = g["x"].ewm(alpha=alpha, adjust=False).mean()
+                np.testing.assert_allclose(g[out].to_numpy(float), want.to_numpy(float), rtol=1e-11, atol=0)
+
+
+def test_technical_over_blocks_equals_whole_series(gapped):
+    whole = table(features.add_technical(gapped), "asset", "date")
+    cut = table(features.add_technical_blocks(gapped, bucket=F.trunc("date", "month"), block_rows=30), "asset", "date")
+    assert list(whole.columns) == list(cut.columns) and len(whole) == len(cut)
+    for c in whole.columns:
+        if whole[c].dtype == float:
+            np.testing.assert_allclose(whole[c].to_numpy(), cut[c].to_numpy(), rtol=1e-8, atol=1e-9)
+
+
 def test_blocks_equal_whole_series(gapped):
     for build, halo in ((features.add_price, 91), (features.add_range_vol, 22)):
         whole = table(build(gapped), "asset", "date")
