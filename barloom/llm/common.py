@@ -38,6 +38,16 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
+def one_per_id(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each id, that with the smallest hash of its other columns, so that a bound on ids bounds the rows.
+
+    Copies of an id are reduced inside the map tasks, before the shuffle.
+    """
+    rest = [c for c in rows.columns if c != key]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("_hash"), *rest)).alias("_row")
+    return rows.groupBy(key).agg(least).select(key, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows with the smallest hash of their key: the same ones at every run."""
     return rows.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(n)

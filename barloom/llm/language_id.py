@@ -129,7 +129,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))  # an id on many rows is sampled row by row
     limit = F.lit(0)
     for lang, n in sizes.items():
         share = min(1.0, per_language / n if n > 1 else 1.0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, bounded_sample, remainder, table
+from barloom.llm.common import WORD, bounded_sample, one_per_id, remainder, table
 
 MAX_DOCS = 12_000
 WORD_BUCKETS = 1 << 14
@@ -151,7 +151,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machine:
-    """Fit on at most `max_docs` labelled documents whose remainder is not 1."""
+    """Fit on at most `max_docs` labelled documents whose remainder is not 1; of rows with the same id, on one."""
     marks = labels.where(F.col("quality").isNotNull() & (remainder("doc_id", 3) != 1))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = F.broadcast(bounded_sample(marks, "doc_id", max_docs))
@@ -171,7 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machi
                 names=["doc_id", "places", "amounts", "quality"],
             )
 
-    rows = _inputs(docs).join(sample, "doc_id").mapInArrow(run, "doc_id long, places binary, amounts binary, quality int")
+    chosen = one_per_id(_inputs(docs).join(sample, "doc_id")).select("doc_id", "text", "n_chars", "quality")
+    rows = chosen.mapInArrow(run, "doc_id long, places binary, amounts binary, quality int")
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["places"], r["amounts"]))  # bounded by max_docs
     return fit(
         [

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bounded_sample, remainder, table
+from barloom.llm.common import bounded_sample, cut, one_per_id, remainder, table
 
 MAX_DOCS = 12_000
 TOXIC_FROM = 0.7
@@ -52,6 +52,15 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if k <= len(word))]
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words, found in the text as it is: the k-th is the k-th match of LETTERS, whatever lower-casing does to lengths."""
+    if not text:
+        return []
+    if text.isascii():
+        return LETTERS.findall(text.lower())
+    return [w.lower() for w in LETTERS.findall(text)]
+
+
 def log_odds(p: float) -> float:
     return math.log(p / (1 - p))
 
@@ -143,7 +152,7 @@ class Chain:
         return out
 
     def tokens(self, text: str | None) -> tuple[list[int], list[float], int]:
-        words = LETTERS.findall((text or "").lower())
+        words = words_of(text)
         found = [(i, w) for i, w in enumerate(map(self.weight, words)) if w]
         return [i for i, _ in found], [w for _, w in found], len(words)
 
@@ -161,14 +170,11 @@ class Chain:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), places, p
 
     def spans(self, text: str, places: list[int], p: list[float], least: float = 0.5) -> list[tuple[int, int]]:
-        """Offsets (begin, end in characters) of tokens whose marginal reaches `least`.
-
-        Tokens are counted in the lower-cased text; in the rare texts whose length that changes, offsets are those of the lower-cased text.
-        """
+        """Offsets (begin, end in characters of the text) of tokens whose marginal reaches `least`."""
         wanted = {i for i, x in zip(places, p, strict=True) if x >= least}
         if not wanted:
             return []
-        return [m.span() for i, m in enumerate(LETTERS.finditer(text.lower())) if i in wanted]
+        return [m.span() for i, m in enumerate(LETTERS.finditer(text)) if i in wanted]
 
 
 def telling(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -300,7 +306,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
     marks = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = F.broadcast(bounded_sample(marks, "doc_id", max_docs))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+    return one_per_id(found).select("doc_id", "text", "toxic")
 
 
 def count_features(rows: DataFrame) -> DataFrame:
@@ -310,7 +317,7 @@ def count_features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = set(LETTERS.findall((text or "").lower()))
+                words = set(words_of(text))
                 counts[int(toxic == 1)].update({f for w in words for f in features_of(w)})
             keys = list(counts[0].keys() | counts[1].keys())
             for at in range(0, len(keys), 20_000):
@@ -330,7 +337,7 @@ def count_features(rows: DataFrame) -> DataFrame:
 
 def _windows(text: str | None, toxic: int, number: dict[str, int], strong: set[str]) -> list[tuple[list, list]]:
     """Labelled token sequences around tokens with a feature."""
-    words = LETTERS.findall((text or "").lower())
+    words = words_of(text)
     names = [[f for f in features_of(w) if f in number] for w in words]
     held = [i for i, fs in enumerate(names) if fs]
     out, begin = [], None
@@ -347,7 +354,7 @@ def _windows(text: str | None, toxic: int, number: dict[str, int], strong: set[s
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Chain:
-    rows = _labelled(docs, labels, max_docs)
+    rows = cut(_labelled(docs, labels, max_docs))  # at most max_docs texts, read three times
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:

@@ -320,6 +320,66 @@ def test_models_on_odd_rows_and_empty_tables(spark, docs):
         assert all(r["lang_pred"] == "und" for r in found if r["doc_id"] in (100_000, 100_001, 100_002))
 
 
+def test_learning_takes_one_row_of_an_id(spark, docs):
+    """An id on many rows sends one of them to the driver."""
+    many = docs.limit(0).select("doc_id", "text").unionByName(
+        spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    )
+    labels = spark.createDataFrame([(7, 1, 1), (8, 0, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    taken = toxicity_crf._labelled(many, labels, 5).collect()
+    assert [r["doc_id"] for r in taken] == [7] and taken[0]["toxic"] == 1
+    again = toxicity_crf._labelled(many.repartition(5), labels, 5).collect()
+    assert [r["text"] for r in again] == [r["text"] for r in taken]
+
+
+def test_spans_are_places_in_the_text_as_given():
+    chain = toxicity_crf.Chain({"bad": 30.0}, -4.0, (0.0, 0.0, 0.0, 0.0))
+    for text, want in (("İİ bad", [(3, 6)]), ("BAD İ bad!", [(0, 3), (6, 9)]), ("a bad", [(2, 5)]), ("", [])):
+        _, places, p = chain.score(text)
+        assert chain.spans(text, places, p) == want
+        assert [text[a:b].lower() for a, b in chain.spans(text, places, p)] == ["bad"] * len(want)
+
+
+def plain_trigrams(text):
+    """Byte trigrams hashed one after another with plain integers."""
+    raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode())
+    out = [0] * language_id.DIMENSION
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        h = a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D
+        out[((h & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_language_equals_a_plain_computation(spark, monkeypatch):
+    texts = ["the dog and the cat", "der Hund und die Katze", "de hond en de kat", "le chien et le chat", "el perro y el gato", "Ünï x 1!", "..", "", None]
+    langs = ["en", "de", "nl", "fr", "es", None, None, None, None]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts * 4, langs * 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert set(model.families) == {"germanic", "romance"}
+    for row in language_id.identify(docs, model).collect():
+        text = rows[row["doc_id"]][1]
+        if not text or not any(c.isalpha() for c in text):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        counts = plain_trigrams(text)
+        x = [(c / sum(counts)) ** 0.5 for c in counts] + [1.0]
+        dot = lambda w: sum(a * b for a, b in zip(x, w))
+        margins = {f: dot(w) for f, w in model.family.items()}
+        family = max(sorted(margins), key=margins.get)
+        sure = 1 / sum(np.exp(3 * (m - margins[family])) for m in margins.values())
+        votes = dict.fromkeys(model.families[family], 0.0)
+        for (a, b), w in model.pairs.items():
+            if a in votes and b in votes:
+                votes[a] += 1 / (1 + np.exp(-3 * dot(w)))
+                votes[b] += 1 / (1 + np.exp(3 * dot(w)))
+        best = max(votes, key=lambda name: (votes[name], name))
+        assert row["lang_pred"] == best
+        assert np.isclose(row["score"], sure * votes[best] / (len(votes) - 1), rtol=1e-6)
+    monkeypatch.setattr(language_id, "CHUNK", 5)
+    assert language_id.trigrams("über the hill").tolist() == plain_trigrams("über the hill")
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     assert quality_rules.judge(none).count() == 0
