@@ -56,7 +56,7 @@ def words_of(text: str | None) -> list[str]:
     """Lower-cased words, found in the text as it is: the k-th is the k-th match of LETTERS, whatever lower-casing does to lengths."""
     if not text:
         return []
-    if text.isascii():
+    if "\u0130" not in text:  # the only letter that more than one character replaces
         return LETTERS.findall(text.lower())
     return [w.lower() for w in LETTERS.findall(text)]
 
