@@ -454,3 +454,20 @@ def intraday_technical(spark, sf):
     """RSI, MACD, bands, stochastics and OBV of an intraday panel, block by block."""
     out = features.add_technical_blocks(ds.event_bars(spark, sf), bucket=F.to_date("date"), block_rows=128)
     return keyed(out.withColumn("date", F.col("date").cast("timestamp_ntz")), TECH)
+
+
+@query(
+    "matched_metrics",
+    f"""WITH {q.BARS}, x AS (
+      SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date, count(DISTINCT l_suppkey) AS adractcnt,
+        count(DISTINCT l_orderkey) AS txcnt, sum(l_quantity) AS splycur FROM lineitem GROUP BY 1, 2),
+    m AS (SELECT adractcnt, txcnt, splycur FROM bars JOIN x USING (asset, date))
+    SELECT 'adractcnt' AS metric FROM m HAVING count(adractcnt) > 0
+    UNION ALL SELECT 'txcnt' FROM m HAVING count(txcnt) > 0
+    UNION ALL SELECT 'splycur' FROM m HAVING count(splycur) > 0""",
+)
+def matched_metrics(spark, sf):
+    """On-chain metrics with a value on some panel row; a metric that never has one is left out."""
+    unseen = ds.onchain(spark, sf).withColumn("never", F.lit(None).cast("double"))
+    names = auxiliary.matched_metrics(ds.panel(spark, sf), unseen, (*ds.ONCHAIN, "never"))
+    return spark.createDataFrame([(n,) for n in names], "metric string")

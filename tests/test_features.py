@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import add_rolling
 from barloom.functions.series import Series
-from barloom.operators import audit, blocks, cross_asset, features
+from barloom.operators import audit, auxiliary, blocks, cross_asset, features
 from barloom.operators.ewm import add_ewm, add_ewm_blocks
 from barloom.operators.targets import add_targets
 from tests.conftest import table
@@ -136,3 +136,12 @@ def test_smoothing_keeps_the_recursion_through_long_flat_runs(spark):
             g, l = g * 13 / 14 + gain[k] / 14, l * 13 / 14 + loss[k] / 14
         want.append(g / l)
     assert np.allclose((got["g"] / got["l"]).to_numpy(float), want, rtol=1e-9)
+
+
+def test_metrics_that_never_match_the_panel_are_left_out(golden):
+    day = F.col("date")
+    other = golden.select("asset", F.date_add(day, 400).alias("date"), F.lit(1.0).alias("far"), F.lit(2.0).alias("near"))
+    here = golden.select("asset", "date", F.lit(None).cast("double").alias("far"), F.col("close").alias("near"))
+    both = other.unionByName(here)
+    assert auxiliary.matched_metrics(golden, both, ("far", "near")) == ["near"]
+    assert auxiliary.matched_metrics(golden, both.limit(0), ("far", "near")) == []
