@@ -1,4 +1,4 @@
-"""Per-series forecasters: ARMA by two-stage least squares, GARCH by a likelihood grid.
+"""Per-series forecasters: ARMA by two-stage least squares, GARCH by likelihood grids that close in.
 
 Each group is one asset's history inside one fold, bounded by the calendar; Spark spreads
 the (fold, asset) groups.  Everything around the recursion (calibration, bounds,
@@ -149,10 +149,10 @@ def variance_path(e: np.ndarray, s2: float, variant: str, a: np.ndarray, b: np.n
     return out
 
 
-def _t_loglik(e: np.ndarray, h: np.ndarray, nu: float) -> np.ndarray:
+def squared_t_loglik(q: np.ndarray, h: np.ndarray, nu: float) -> np.ndarray:
+    """Student-t log likelihood of squared residuals ``q`` (rows) under variances ``h`` (rows x candidates)."""
     const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log((nu - 2) * math.pi)
-    z2 = e[:, None] ** 2 / h
-    return (const - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(z2 / (nu - 2))).sum(axis=0)
+    return (const - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(q[:, None] / h / (nu - 2))).sum(axis=0)
 
 
 # Parameter grids: reaction, persistence (sum for GARCH, autoregression for EGARCH), tails.
@@ -161,23 +161,50 @@ PERSISTENCE = (0.3, 0.5, 0.7, 0.8, 0.88, 0.93, 0.96, 0.98, 0.99, 1.0)
 TAILS = (3.0, 4.0, 6.0, 9.0, 15.0, 40.0)
 
 
-def fit_variance(e: np.ndarray, variant: str) -> tuple[float, float, float]:
-    """(a, b, nu) of the largest Student-t likelihood on the grid, refined once."""
-    s2 = float(np.mean(e**2))
+STEPS = (-0.5, -0.25, 0.0, 0.25, 0.5)
+TAIL_MIN, TAIL_MAX = 2.05, 200.0
 
-    def search(reaction, persistence, tails):
-        pairs = [(a, g - a if variant == "garch11" else g) for a in reaction for g in persistence]
-        pairs = [(a, b) for a, b in pairs if b >= 0]
-        a, b = (np.array(v) for v in zip(*pairs))
+# A search ends after STILL_ROUNDS rounds in a row, each on half the width, that gain less than TOLERANCE.
+TOLERANCE, STILL_ROUNDS, MAX_ROUNDS = 1e-3, 4, 60
+
+
+def candidates(variant: str, best: tuple[float, float, float] | None = None, width: float = 1.0):
+    """(a, b, tails) to try next: the fixed grid at first, then a grid around the best (a, b, nu) so far."""
+    if best is None:
+        reaction, persistence, tails = REACTION[variant], PERSISTENCE, TAILS
+    else:
+        a0, b0, nu0 = best
+        g0 = a0 + b0 if variant == "garch11" else b0
+        moves = [width * d for d in STEPS]
+        reaction = [a0 * (1 + d) for d in moves]
+        persistence = sorted({min(g0 + d * (1.001 - g0), 1.0) for d in moves})
+        tails = sorted({min(max(nu0 * (1 + d), TAIL_MIN), TAIL_MAX) for d in moves})
+    pairs = [(a, g - a if variant == "garch11" else g) for a in reaction for g in persistence]
+    a, b = (np.array(v, float) for v in zip(*[(a, max(b, 0.0)) for a, b in pairs if b >= -1e-12]))
+    return a, b, np.array(tails, float)
+
+
+def closer(best: float | None, score: float, width: float, still: int, tolerance: float) -> tuple[float, int]:
+    """(width, still) after a round: a round without a gain halves the width and counts towards the end."""
+    if best is not None and score - best < tolerance:
+        return width / 2, still + 1
+    return width, 0
+
+
+def fit_variance(e: np.ndarray, variant: str, tolerance: float = TOLERANCE) -> tuple[float, float, float]:
+    """(a, b, nu) of the largest Student-t likelihood, by grids that close in until the gain settles."""
+    s2, q = float(np.mean(e**2)), e**2
+    found, best, width, still = None, None, 1.0, 0
+    for _ in range(MAX_ROUNDS):
+        a, b, tails = candidates(variant, found, width)
         h = variance_path(e, s2, variant, a, b)[:-1]
-        scores = np.array([_t_loglik(e, h, nu) for nu in tails])
+        scores = np.array([squared_t_loglik(q, h, nu) for nu in tails])
         i, j = np.unravel_index(np.argmax(scores), scores.shape)
-        return float(a[j]), float(b[j]), float(tails[i])
-
-    a, b, nu = search(REACTION[variant], PERSISTENCE, TAILS)
-    g = a + b if variant == "garch11" else b
-    near = sorted({min(g + d * (1.001 - g), 1.0) for d in (-0.5, -0.25, 0.0, 0.25, 0.5)})
-    return search([a * m for m in (0.75, 0.9, 1.0, 1.15, 1.3)], near, [nu])
+        width, still = closer(best, float(scores[i, j]), width, still, tolerance)
+        found, best = (float(a[j]), float(b[j]), float(tails[i])), float(scores[i, j])
+        if still >= STILL_ROUNDS:
+            break
+    return found
 
 
 def is_stable(variant: str, a: float, b: float) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import positive_ln, rounded
 from barloom.functions.series import Series
-from barloom.operators import baselines, boosting, folds, lagged, linear, metrics, sequences, timeseries
+from barloom.operators import baselines, blocks, boosting, folds, lagged, linear, metrics, sequences, timeseries, variance_blocks
 from barloom.operators.matrix import drop_warmup, feature_columns
 from barloom.operators.targets import add_meta, add_targets
 from barloom.plans import datasets as ds
@@ -119,6 +119,25 @@ query("garch_volatility_mz")(_variance("garch11", "mz"))
 query("egarch_volatility")(_variance("egarch11", "level"))
 
 
+@query("intraday_garch")
+def intraday_garch(spark, sf):
+    """GARCH variances of hourly bars, from block to block: two thirds of the span train, the rest is forecast."""
+    numbered = blocks.number_rows(ds.event_bars(spark, sf).filter("close > 0"), ("asset",), ("date",), F.to_date("date"))
+
+    def returns(df, keys):
+        s = Series(keys, ("_pos",))
+        return df.withColumn("ret_lag1", F.ln("close") - s.lag(F.ln("close")))
+
+    rows = cut_lineage(blocks.on_blocks(numbered, returns, halo=1).select("asset", "date", F.col("_pos") - 1, "ret_lag1"))
+    rows = rows.toDF("asset", "date", "_pos", "ret_lag1").filter("ret_lag1 IS NOT NULL")
+    at = F.col("date").cast("double")
+    ends = rows.agg(F.min(at), F.max(at)).head()
+    limit = ends[0] + (ends[1] - ends[0]) * 2 / 3 if ends[0] is not None else 0.0
+    split = F.when(at < limit, "train").otherwise("test")
+    out = variance_blocks.variance_paths(rows.withColumn("split", split), ("asset",))
+    return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")))
+
+
 @query("garch_metrics")
 def garch_metrics(spark, sf):
     """Pooled volatility scores of both recursions next to the baselines."""
