@@ -12,7 +12,8 @@ fingerprints. Inside a bucket a task compares fingerprints but hands on a spanni
 
 Defined cases: a NULL, empty or wordless text has fingerprint zero and is linked like any other; fewer words than a
 shingle has make one shingle; a bit set in exactly half the hashes is 0; a NULL doc_id gets a fingerprint, counts last for the smallest id
-and comes back; repeated rows come back as often; an empty table gives an empty result; other columns are not read.
+and comes back; repeated rows come back as often; rows that repeat an id with other texts are one document, so what one of them reaches
+the others reach too; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -179,11 +180,17 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return out.distinct()
 
 
+def same_id_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest fingerprint of a doc_id to its others; most ids have none."""
+    ids = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("most"))
+    return prints.join(ids.where("b < most"), "doc_id").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+
+
 def group(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable over links, to (doc_id, fp)."""
+    """Adds component_id, the smallest doc_id reachable over links and rows of one id, to (doc_id, fp)."""
     prints = cut(prints)
     owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    nodes = components(near_links(owners, radius))
+    nodes = components(near_links(owners, radius).unionByName(same_id_links(prints)))
     found = nodes.join(owners, nodes["node"] == owners["fp"]).select("fp", "root", "owner")
     least = found.groupBy("root").agg(F.min("owner").alias("least"))
     joined = found.join(least, "root").select("fp", "least")

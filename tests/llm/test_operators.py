@@ -188,6 +188,17 @@ def test_simhash_matches_brute_force(docs, plain):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_simhash_takes_rows_of_one_id_as_one_document(spark):
+    texts = ["first text of its own", "quite another set of words", "nothing like the other two", "a fourth one far away"]
+    prints = [slow_fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 3 for k, a in enumerate(prints) for b in prints[:k])
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1].upper()), (9, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = {texts[0]: 1, texts[1]: 1, texts[2]: 9, texts[3]: None}
+    want = [(i, f"{slow_fingerprint(t):016x}", least[t.lower()]) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_every_pair_within_the_radius_shares_a_bucket():
     rng = np.random.default_rng(1)
     masks = [m & (2**64 - 1) for m in simhash.covering_masks()]
