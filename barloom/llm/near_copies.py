@@ -1,10 +1,16 @@
 """Near copies by five-word shingles: groups of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-Every distinct shingle set gets 32 bucket keys, each from four minima of random orders of its shingles, and 128 single bits of
-those minima. Sets that meet in a bucket and differ in few bits are linked; this only gathers candidates and is set so wide
-that a pair at 0.8 exactly is missed with a probability of 7e-8 (more alike pairs are missed less). The components
-of these links then hold every group as a whole, and inside each the sets themselves are compared: the groups are the components of the
-pairs with an exact similarity of at least 0.8, found breadth first over an index of the shingles.
+Candidates come from two kinds of links between distinct shingle sets, and an exact check decides.
+
+* SimHash by covering masks (`simhash.near_links`), on fingerprints of five-word shingles with a radius of 3: 15 tables, no
+  pair within the radius is lost. At a similarity of 0.8 about 10 of 64 bits differ, and tables double with each
+  bit of the radius, so this finds the closer copies only.
+* Every set gets 32 bucket keys, each from four minima of random orders of its shingles, and 128 single bits of
+  those minima. Sets that meet in a bucket and differ in few bits are linked; this is set so wide that a pair at 0.8 exactly is
+  missed with a probability of 7e-8 (more alike pairs are missed less).
+
+The components of all links then hold every group as a whole, and inside each the sets themselves are compared: the groups are
+the components of the pairs with an exact similarity of at least 0.8, found breadth first over an index of the shingles.
 
 Copies collapse to one row per distinct set before anything is compared. Shingles are compared by 64-bit hashes. A task holds the
 sets of one candidate component at a time (8 bytes a shingle, about three times that while compared).
@@ -22,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import simhash
 from barloom.llm.common import WORD, cut
 from barloom.llm.components import components
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 4
+#: Bits of the SimHash fingerprints that may differ.
+RADIUS = 3
 #: Bits that may differ among 128. At a similarity of 0.8 each differs with probability 0.1.
 BITS_APART = 34
 SEED = 42
@@ -73,7 +82,7 @@ def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (hash of id and text), fp (the set's number), two numbers of bits, and bucket keys."""
+    """doc_id, tag (hash of id and text), fp (the set's number), print (its SimHash), two numbers of bits, and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,13 +90,14 @@ def prints(docs: DataFrame) -> DataFrame:
             for text in batch.column(2):
                 found = shingle_set(text.as_py())
                 keys, bits = sketch(found) if len(found) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
-                rows.append((identity(found), bits[0], bits[1], keys))
-            fp, one, two = (pa.array(np.array([r[k] for r in rows], np.int64)) for k in range(3))
-            ends = np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[3] for r in rows)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, one, two, keys], names=["doc_id", "tag", "fp", "one", "two", "keys"])
+                rows.append((identity(found), np.uint64(simhash.majority(found)).astype(np.int64), bits[0], bits[1], keys))
+            numbers = [pa.array(np.array([r[k] for r in rows], np.int64)) for k in range(4)]
+            ends = np.cumsum([0] + [len(r[4]) for r in rows]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[4] for r in rows)])))
+            names = ["doc_id", "tag", "fp", "print", "one", "two", "keys"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, keys], names=names)
 
-    return _tagged(docs).mapInArrow(run, "doc_id long, tag long, fp long, one long, two long, keys array<long>")
+    return _tagged(docs).mapInArrow(run, "doc_id long, tag long, fp long, print long, one long, two long, keys array<long>")
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -125,7 +135,18 @@ def forest(fps: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def candidate_links(owners: DataFrame) -> DataFrame:
+def simhash_links(owners: DataFrame) -> DataFrame:
+    """Links (a, b) that join the numbers of sets whose SimHash differs in at most RADIUS bits; sets of one SimHash meet at the smallest."""
+    sets = owners.where(F.size("keys") > 0).select("fp", "print")
+    heads = cut(sets.groupBy("print").agg(F.min("fp").alias("head"), F.count("*").alias("n")))
+    near = simhash.near_links(heads.select(F.col("print").alias("fp")), RADIUS)
+    first, second = (heads.select(F.col("print").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b"))
+    far = near.join(first, "a").join(second, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    same = sets.join(heads.where("n > 1"), "print").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    return far.unionByName(same)
+
+
+def bucket_links(owners: DataFrame) -> DataFrame:
     """Links (a, b) between the numbers of sets that meet in a bucket and differ in few bits."""
     n = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = owners.select(F.explode("keys").alias("key"), "fp", "one", "two")
@@ -218,8 +239,8 @@ def group(docs: DataFrame) -> DataFrame:
     """doc_id, tag and component_id, the smallest doc_id of its near copies, for every row."""
     rows = cut(prints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
-    owners = cut(rows.groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("one", "two", "keys"))))
-    nodes = components(candidate_links(owners))
+    owners = cut(rows.groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("print", "one", "two", "keys"))))
+    nodes = components(simhash_links(owners).unionByName(bucket_links(owners)))
     wanted = owners.join(nodes, owners["fp"] == nodes["node"]).select("first.tag", "fp", "root")
     tied = cut(_settled(_sets(docs, wanted)))
     labels = owners.select("fp", F.col("first.doc_id").alias("owner")).join(tied, "fp", "left")

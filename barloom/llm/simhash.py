@@ -49,10 +49,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         shingles = map(" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), ">u8")
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in more than half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        part = np.ascontiguousarray(hashes[at : at + CHUNK]).view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 

@@ -27,7 +27,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id.
+
+    Covering SimHash tables and MinHash buckets give the candidates, whole shingle sets are compared.
+    """
     return near_copies.keep_one(docs)
 
 

@@ -7,6 +7,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
+from barloom.llm import near_copies
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,3 +67,20 @@ def test_copies_with_spread_edits_go_and_looser_ones_stay(spark, edits):
     want = left_over([r for r in rows if r[0] is not None])
     assert sorted(x for x in got if x is not None) == sorted(want)
     assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == ["alone here"]
+
+
+def test_simhash_alone_finds_the_close_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "bucket_links", lambda owners: owners.select("fp", "fp").toDF("a", "b").limit(0))
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for k in range(6):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 2000)]
+        near = [*words[:1000], "changed", *words[1001:]]
+        apart = near_copies.simhash.majority(near_copies.shingle_set(" ".join(words))) ^ near_copies.simhash.majority(near_copies.shingle_set(" ".join(near)))
+        want += [2 * k] if apart.bit_count() <= near_copies.RADIUS else [2 * k, 2 * k + 1]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    assert len(want) < len(rows)
+    rows += [(20, "a b c d e a b c d e"), (21, "a b c d e a b c d e a b c d e"), (22, None), (23, " ")]  # one set, no set
+    want += [20, 22]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == want
