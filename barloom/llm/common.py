@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
+#: Entries of a word cache in a worker process; most distinct words of a large table occur once.
+CACHE_ENTRIES = 200_000
+#: Rows of whole texts that the JVM and a Python worker hold at a time.
+BATCH_ROWS = 2_000
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -27,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of few rows, in this session from now on; it bounds memory and changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; survives lost executors."""
     shared_dir(df.sparkSession)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, bounded_sample, one_per_id, remainder, table
+from barloom.llm.common import CACHE_ENTRIES, WORD, bounded_sample, one_per_id, remainder, table
 
 MAX_DOCS = 12_000
 WORD_BUCKETS = 1 << 14
@@ -51,7 +51,7 @@ def bucket(word: str) -> int:
     found = _words.get(word)
     if found is None:
         found = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-        if len(_words) >= 300_000:
+        if len(_words) >= CACHE_ENTRIES:
             _words.clear()
         _words[word] = found
     return found

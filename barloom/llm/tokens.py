@@ -13,7 +13,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-CACHE_ENTRIES = 500_000
+from barloom.llm.common import CACHE_ENTRIES
+
 LONG_PIECE = 64
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary's pattern over lower-case plain text.

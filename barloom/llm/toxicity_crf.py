@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bounded_sample, cut, one_per_id, remainder, table
+from barloom.llm.common import CACHE_ENTRIES, bounded_sample, cut, one_per_id, remainder, table
 
 MAX_DOCS = 12_000
 TOXIC_FROM = 0.7
@@ -44,7 +44,6 @@ LONGEST = 40
 STEPS = 150
 RIDGE = 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
 
 
 def features_of(word: str) -> list[str]:
@@ -102,7 +101,7 @@ class Chain:
         found = self.cache.get(word)
         if found is None:
             found = sum(self.weights.get(f, 0.0) for f in features_of(word))
-            if len(self.cache) >= CACHE_WORDS:
+            if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
             self.cache[word] = found
         return found

@@ -11,17 +11,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import near_copies, packing, quality_fm, toxicity_crf
-from barloom.llm.common import shared_dir, table
+from barloom.llm.common import shared_dir, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled rows of the whole table."""
+    small_batches(spark)
     machine = quality_fm.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_fm.keep(docs, machine)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit. It learns from the labelled rows of the whole table."""
+    small_batches(spark)
     chain = toxicity_crf.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity_crf.keep(docs, chain)
 
@@ -31,11 +33,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Covering SimHash tables and MinHash buckets give the candidates, whole shingle sets are compared.
     """
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
