@@ -3,9 +3,9 @@
 A vector x becomes (x, sqrt(M^2 - |x|^2)), M being the largest norm, and a query q becomes (q, 0); the nearest point in
 Euclidean distance is then the one with the largest inner product. Points are dealt to lists by their nearest centroid
 and each query goes to its nearest lists. In a list, points and queries are turned by a random rotation and kept as
-blocks of columns. After each block the partial distance of a candidate, scaled up to all dimensions, is tested against the
-best distances so far: if chance can hardly explain the excess, the candidate is given up. What survives all blocks is
-scored in double precision on the original vectors.
+blocks of columns. A candidate is given up after the block in which its partial distance exceeds the best distances so far, so
+no point of a probed list is lost. What survives all blocks is scored in double precision on the original vectors. The queries of a list are compared together, and each begins with the
+distance of its k-th best among the fitting sample in its own lists, behind which nothing can be among its k nearest.
 
 Centroids, rotation and the share of lists to probe are fitted on at most SAMPLE vectors (those with the smallest hash of their id);
 every vector is indexed. The share probed is the smallest that finds TARGET of the true neighbours in the sample.
@@ -33,8 +33,8 @@ TARGET = 0.98
 TRIALS = 150
 ROUNDS = 8
 COLUMNS = 16
-DOUBT = 2.1  # spread allowed to a partial distance, in the usual units of 1 / sqrt(dimensions seen)
-BLOCK, CHUNK = 4_096, 512
+BLOCK, CHUNK = 4_096, 2_048
+GROUP, STEP, PAIRS = 256, 1_024, 65_536  # queries and points compared at a time, pairs scored at a time
 MAX_LISTS = 1_024
 
 
@@ -56,14 +56,16 @@ def usual_length(rows: DataFrame) -> int:
 class Index:
     """Centroids, rotation, largest norm and number of lists to probe; small, and sent to every task."""
 
-    def __init__(self, sample: np.ndarray, largest: float, total: int, k: int, seed: int = 11):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, largest: float, total: int, k: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.largest = largest
+        self.ids, self.sample = ids, sample
         points = self.points(sample)
         size = points.shape[1]
         self.turn = np.linalg.qr(rng.normal(size=(size, size)))[0].astype(np.float32)
         lists = int(max(1, min(total**0.5, MAX_LISTS, len(sample) / 8)))
         self.centroids = self._centroids(points, lists, rng)
+        self.places = self.assign(sample)
         self.probes = self._calibrate(sample, points, k, rng)
 
     def points(self, x: np.ndarray) -> np.ndarray:
@@ -89,6 +91,20 @@ class Index:
         flat = np.column_stack([queries, np.zeros(len(queries))])
         return np.argsort(self.distances(flat, self.centroids), axis=1, kind="stable")
 
+    def reach(self, query_ids: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], k: int) -> np.ndarray:
+        """A squared distance within which each query has k points or more in its lists: that of the k-th best of the sample there."""
+        out = np.full(len(queries), np.inf)
+        for at in range(0, len(queries) if len(self.sample) > k else 0, GROUP):
+            q = queries[at : at + GROUP]
+            probed = np.zeros((len(q), len(self.centroids)), bool)
+            for row, chosen in zip(probed, lists[at : at + GROUP], strict=True):
+                row[chosen] = True
+            scores = q @ self.sample.T
+            scores[~probed[:, self.places] | (query_ids[at : at + GROUP, None] == self.ids[None])] = -np.inf
+            best = np.partition(scores, -k, axis=1)[:, -k]
+            out[at : at + GROUP] = self.largest**2 + (q * q).sum(axis=1) - 2 * best
+        return out
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         return np.argmin(self.distances(self.points(x), self.centroids), axis=1)
 
@@ -100,48 +116,70 @@ class Index:
         if not best.size:
             return len(self.centroids)
         place = np.argsort(self.order(sample[tried]), axis=1)
-        depth = np.take_along_axis(place, self.assign(sample)[best], axis=1)
+        depth = np.take_along_axis(place, self.places[best], axis=1)
         return int(np.quantile(depth, TARGET, method="higher")) + 1
 
 
-def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, score): at least the survivors' k best for each query among the given points."""
-    turned = (index.points(x) @ index.turn).astype(np.float32)
-    asked = (np.column_stack([queries, np.zeros(len(queries))]) @ index.turn).astype(np.float32)
-    size = turned.shape[1]
-    starts = list(range(0, size, COLUMNS))
-    blocks = [np.ascontiguousarray(turned[:, a : a + COLUMNS]) for a in starts]
-    out: list[tuple] = []
-    first = max(64, 2 * k)
-    for q in range(len(queries)):
-        others = np.flatnonzero(ids != query_ids[q])
-        head, tail = others[:first], others[first:]
-        near = ((turned[head] - asked[q]) ** 2).sum(axis=1)
-        found, dist = [head], [near]
-        limit = float(np.partition(near, k - 1)[k - 1]) if len(near) >= k else np.inf
-        for at in range(0, len(tail), 1024):
-            alive = tail[at : at + 1024]
-            partial = np.zeros(len(alive), np.float32)
-            for block, a in zip(blocks, starts, strict=True):
-                partial += ((block[alive] - asked[q, a : a + COLUMNS]) ** 2).sum(axis=1)
-                seen = min(size, a + COLUMNS)
-                bound = limit * (seen / size) * (1 + DOUBT / seen**0.5) ** 2 if seen < size else limit * (1 + 1e-5) + 1e-9
-                stay = partial <= bound
-                alive, partial = alive[stay], partial[stay]
-                if not len(alive):
-                    break
-            if len(alive):
-                found.append(alive)
-                dist.append(partial)
-                now = np.concatenate(dist)
-                if len(now) >= k:
-                    limit = float(np.partition(now, k - 1)[k - 1])
-        rows, now = np.concatenate(found), np.concatenate(dist)
-        rows = rows[now <= limit * (1 + 1e-5) + 1e-9]
-        exact = x[rows] @ queries[q]
-        best = np.lexsort((ids[rows], -exact))[:k]
-        out += zip([int(query_ids[q])] * len(best), ids[rows][best].tolist(), exact[best].tolist(), strict=True)
-    return out
+def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """query_id, vec_id, score: at least the k best for each query among the given points, if they are within the query's reach."""
+    scale = index.largest or 1.0  # float32 takes vectors of any length so
+    turned = (index.points(x) / scale @ index.turn).astype(np.float32)
+    asked = (np.column_stack([queries, np.zeros(len(queries))]) / scale @ index.turn).astype(np.float32)
+    slack = 1e-5 * (1 + (asked * asked).sum(axis=1))
+    limit = reach / scale**2 + slack
+    groups = [slice(q, q + GROUP) for q in range(0, len(queries), GROUP)]
+    parts = [_scan(turned, asked[g], ids, query_ids[g], limit[g], slack[g], k) for g in groups]
+    at = np.concatenate([a + GROUP * i for i, (a, _) in enumerate(parts)])
+    of = np.concatenate([b for _, b in parts])
+    chunks = [slice(i, i + PAIRS) for i in range(0, max(1, len(of)), PAIRS)]
+    exact = np.concatenate([np.einsum("ij,ij->i", x[of[c]], queries[at[c]]) for c in chunks])
+    order = np.lexsort((ids[of], -exact, at))
+    at, of, exact = at[order], of[order], exact[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+    best = place < k
+    return query_ids[at[best]], ids[of[best]], exact[best]
+
+
+def _scan(
+    turned: np.ndarray, asked: np.ndarray, ids: np.ndarray, own: np.ndarray, limit: np.ndarray, slack: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, point) of what survives all blocks for a group of queries, which share the matrix products."""
+    size, bound = turned.shape[1], limit.astype(np.float32)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    dist = np.full((len(asked), 0), np.inf, np.float32)
+    for first in range(0, len(turned), STEP):
+        points = turned[first : first + STEP]
+        partial = np.zeros((len(asked), len(points)), np.float32)
+        pairs: tuple[np.ndarray, np.ndarray] | None = None  # once few are left
+        partial[own[:, None] == ids[None, first : first + STEP]] = np.inf
+        for a in range(0, size, COLUMNS):
+            p, q = points[:, a : a + COLUMNS], asked[:, a : a + COLUMNS]
+            if pairs is None:
+                partial += (q * q).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * (q @ p.T)
+                partial[partial > bound[:, None]] = np.inf
+                stay = partial != np.inf
+                if 8 * np.count_nonzero(stay) < stay.size:
+                    pairs = np.nonzero(stay)
+                    rest = partial[pairs]
+            else:
+                i, j = pairs
+                rest = rest + ((q[i] - p[j]) ** 2).sum(axis=1)
+                stay = ~(rest > bound[i])
+                pairs, rest = (i[stay], j[stay]), rest[stay]
+        if pairs is None:
+            pairs = np.nonzero(partial != np.inf)
+            rest = partial[pairs]
+        found.append((pairs[0], pairs[1] + first, rest))
+        if first + STEP < len(turned):  # the k nearest so far bound what follows
+            now = np.full(partial.shape, np.inf, np.float32)
+            now[pairs] = rest
+            dist = np.concatenate([dist, now], axis=1)
+            if dist.shape[1] >= k:
+                dist = np.partition(dist, k - 1, axis=1)[:, :k]
+                bound = np.minimum(bound, dist[:, k - 1] + slack.astype(np.float32))
+    at, of, rest = (np.concatenate(c) for c in zip(*found, strict=True))
+    near = ~(rest > bound[at])
+    return at[near], of[near]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -168,10 +206,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     total = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("largest")).first()
     empty = "query_id long, rank int, vec_id long, score double"
-    sample = [r["x"] for r in bounded_sample(rows, "vec_id", SAMPLE).collect()]
+    sample = bounded_sample(rows, "vec_id", SAMPLE).collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], empty)
-    index = Index(np.array(sample), float(total["largest"]), total["n"], k)
+    index = Index(np.array([r["vec_id"] for r in sample]), np.array([r["x"] for r in sample]), float(total["largest"]), total["n"], k)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +225,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = index.order(_matrix(batch.column(1)))
+            x = _matrix(batch.column(1))
+            order = index.order(x)
             enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1  # k others and the query itself
             lists = [o[: max(index.probes, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "x", "lists"])
+            reach = index.reach(batch.column(0).to_numpy(), x, lists, k)
+            columns = [*batch.columns, pa.array(reach), pa.array(lists, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "x", "reach", "lists"])
 
-    routed = asked.mapInArrow(route, "vec_id long, x array<double>, lists array<int>")
-    routed = cut(routed.select("vec_id", "x", F.explode("lists").alias("list")))
+    routed = asked.mapInArrow(route, "vec_id long, x array<double>, reach double, lists array<int>")
+    routed = cut(routed).select("vec_id", "x", "reach", F.explode("lists").alias("list"))
     wanted = {r["list"]: r["n"] for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks, chunks = _parts(sizes, BLOCK), _parts(wanted, CHUNK)
     key = F.xxhash64("vec_id", "x")
@@ -203,12 +244,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        found: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
             ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            found = scan(index, ids, _matrix(left.column("x")), query_ids, _matrix(right.column("x")), k)
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+            found = scan(index, ids, _matrix(left.column("x")), query_ids, _matrix(right.column("x")), right.column("reach").to_numpy(), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     keys = ("list", "block", "chunk")
     near = points.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(join, "query_id long, vec_id long, score double")

@@ -439,3 +439,43 @@ def test_neighbours_of_mixed_lengths(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [
         (400, 1, 19, 42.0), (400, 2, 18, 40.0), (400, 3, 17, 38.0),
     ]
+
+
+def test_scan_loses_no_point_of_its_list(monkeypatch):
+    """Queries compared together find what brute force finds, and no point beyond their reach is handed on."""
+    monkeypatch.setattr(adaptive_scan, "GROUP", 7)
+    monkeypatch.setattr(adaptive_scan, "STEP", 50)
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e30, 1e-30):
+        x = rng.normal(size=(400, 40)) * scale
+        x[11] = x[10]
+        ids = np.arange(400) * 3
+        ids[21] = ids[20]
+        index = adaptive_scan.Index(ids, x, float(np.sqrt((x * x).sum(axis=1).max())), len(x), 5)
+        asked, lists = ids[:20], [np.arange(len(index.centroids))] * 20
+        scores = x[:20] @ x.T
+        scores[asked[:, None] == ids[None]] = -np.inf
+        want = [ids[np.lexsort((ids, -s))[:5]].tolist() for s in scores]
+        reach = index.reach(asked, x[:20], lists, 5)
+        for r in (reach, np.full(20, np.inf)):
+            q, v, s = adaptive_scan.scan(index, ids, x, asked, x[:20], r, 5)
+            for k in range(20):
+                assert [i for i, a in zip(v.tolist(), q.tolist(), strict=True) if a == asked[k]] == want[k]
+        worst = np.argsort(scores, axis=1)[:, :100]
+        far = np.concatenate([worst[:1].ravel(), [0]])
+        q, v, s = adaptive_scan.scan(index, ids[far], x[far], asked[:1], x[:1], reach[:1], 5)
+        assert len(q) == 0
+
+
+def test_neighbours_of_all_lists_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(adaptive_scan.Index, "_calibrate", lambda self, *rest: len(self.centroids))
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    table = rows.toArrow()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), float)
+    got = defaultdict(list)
+    for r in adaptive_scan.nearest(rows).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        assert got[q] == ids[np.lexsort((ids, -s))[:20]].tolist()
