@@ -32,7 +32,7 @@ BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
     """Cut every document's ids into pieces of at most `capacity`; only the last may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                raws = tokens.encode_all(path, part.column(1).to_pylist(), end_id)
+                raws = tokens.encode_all(path, part.column(1).to_pylist(), end_id, entries)
                 for doc_id, raw in zip(part.column(0).to_pylist(), raws, strict=True):
                     for k, p in enumerate(range(0, len(raw), width)):
                         x = raw[p : p + width]
@@ -222,6 +222,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return kept.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
     """Token pieces of all documents with their sequence and offset."""
-    return pack(cut(token_pieces(docs, path or tokens.vocabulary_path(), capacity)), capacity)
+    return pack(cut(token_pieces(docs, path or tokens.vocabulary_path(), capacity, entries=entries)), capacity)

@@ -13,14 +13,13 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-from barloom.llm.common import CACHE_ENTRIES
-
+CACHE_ENTRIES = 500_000
 LONG_PIECE = 64
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary's pattern over lower-case plain text.
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 PLAIN = re.compile(r"[!-;=-~À-ÖØ-Þß-öø-ÿ]*")  # no white space, no '<' (special tokens begin with it)
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,15 +48,15 @@ def pieces_of(text: str) -> list[str]:
 class Words(dict):
     """Lower-case plain word -> id bytes."""
 
-    def __init__(self, model):
+    def __init__(self, model, entries: int):
         super().__init__()
-        self.tokenize = model.tokenize
+        self.tokenize, self.entries = model.tokenize, entries
 
     def __missing__(self, word: str) -> bytes:
         letters = word if word.isascii() else word.translate(PLAIN_LETTERS)
         found = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
         if len(word) < LONG_PIECE:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[word] = found
         return found
@@ -66,15 +65,16 @@ class Words(dict):
 class PieceEncoder(dict):
     """Space-separated piece -> ids as little-endian unsigned 32-bit bytes; encode() takes whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         super().__init__()
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Words(self.tokenizer.model)
+        self.words = Words(self.tokenizer.model, entries)
 
     def __missing__(self, piece: str) -> bytes:
         if PLAIN.fullmatch(piece):
@@ -83,7 +83,7 @@ class PieceEncoder(dict):
         else:
             found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) < LONG_PIECE:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[piece] = found
         return found
@@ -92,14 +92,14 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, pieces_of(text or "")))
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> PieceEncoder:
     """One encoder for each worker process, so that its caches outlive a task."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, entries) not in _encoders:
+        _encoders[path, entries] = PieceEncoder(path, entries)
+    return _encoders[path, entries]
 
 
-def encode_all(path: str, texts: Iterable[str | None], end_id: int) -> Iterator[bytes]:
-    one, end = encoder(path), array("I", [end_id]).tobytes()
+def encode_all(path: str, texts: Iterable[str | None], end_id: int, entries: int = CACHE_ENTRIES) -> Iterator[bytes]:
+    one, end = encoder(path, entries), array("I", [end_id]).tobytes()
     for text in texts:
         yield one.encode(text) + end

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import near_copies, packing, quality_fm, toxicity_crf
-from barloom.llm.common import shared_dir, small_batches, table
+from barloom.llm.common import CACHE_ENTRIES, shared_dir, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, entries=CACHE_ENTRIES)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", pack)]

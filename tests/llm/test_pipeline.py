@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from barloom.llm import quality_fm, simhash, tokens, toxicity_crf
+from barloom.llm.common import CACHE_ENTRIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def test_word_caches_stay_small(monkeypatch):
     words = [f"wort{k}" for k in range(550_000)]
     monkeypatch.setattr(quality_fm, "_words", {})
     chain = toxicity_crf.Chain({"wort1": 2.0})
-    encoder = tokens.PieceEncoder(tokens.vocabulary_path())
+    encoder = tokens.PieceEncoder(tokens.vocabulary_path(), CACHE_ENTRIES)
     for at in range(0, len(words), 50_000):
         part = words[at : at + 50_000]
         for w in part:
