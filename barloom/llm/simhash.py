@@ -126,25 +126,20 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
-    """Forest links of every (mask, key) bucket; rows arrive sorted, so a task holds one bucket at a time."""
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = buckets.select("mask", "key", "fp").repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
+    """Forest links of every (mask, key) bucket.
+
+    An aggregate makes a bucket one row. A repartition would not hold it together: after a join on the same keys the planner drops it
+    as already met, and the join's own exchange may then be read in pieces once that join turns into a broadcast.
+    """
+    whole = buckets.groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)])], axis=1)
-            if rows.shape[1] == 0:
-                continue
-            cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            if links := _links(rows[2, :last], cuts[:-1], radius):
+            ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
+            if links := _links(batch.column(0).flatten().to_numpy(), ends[:-1], radius):
                 yield _as_batch(links)
-            held = rows[:, last:]
-        if held.shape[1] and (links := _links(held[2], np.array([], int), radius)):
-            yield _as_batch(links)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return whole.mapInArrow(run, "a long, b long")
 
 
 def _links(fps: np.ndarray, cuts: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -228,6 +228,37 @@ def test_buckets_beyond_the_block_are_split_without_loss(spark):
     assert [find(p) for p in prints] == [prints[k] for k in roots_of(prints)]
 
 
+def test_buckets_stay_whole_when_their_join_becomes_a_broadcast(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 3_000).tolist()
+    prints = sorted({b ^ (1 << int(i)) for b in base for i in rng.integers(0, 60, 2)} | set(base))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for name, value in zip(names, ("16", "-1", "10MB"), strict=True):  # a sorted join by plan, a broadcast once sizes are known
+            spark.conf.set(name, value)
+        distinct = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(7)
+        links = {frozenset((r["a"], r["b"])) for r in simhash.near_links(distinct).collect()}
+    finally:
+        for name, value in zip(names, before, strict=True):
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+    joined = {p: p for p in prints}
+
+    def find(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for a, b in map(tuple, links):
+        a, b = find(a), find(b)
+        joined[max(a, b)] = min(a, b)
+    want = {find(b) for b in base}
+    assert len(want) == len(base) and all(find(p) in want for p in prints)
+
+
 def test_token_store_round_trip(spark, docs, plain, tokenizer, tmp_path):
     manifest = token_store.write_store(docs, str(tmp_path / "store"), tokens.vocabulary_path())
     rows = sorted(token_store.read_store(spark, manifest).collect(), key=lambda r: r["start"])
